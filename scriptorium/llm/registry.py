@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import lookalike
+from scriptorium.llm import languages, lookalike
 from scriptorium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,20 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_canonical")
 def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical_text", "changed")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    canonical = table(spark, d, "canonical_languages")
+    typed = languages.typed_values(table(spark, d, "language_counts"))
+    typed = typed.join(canonical.select(F.col("code").alias("raw_value")), "raw_value", "left_anti")
+    mapped = languages.map_values(typed, canonical)
+    return typed.join(mapped.select("raw_value", "canonical_code"), "raw_value").select("lang_row_id", "raw_value", "canonical_code")
+
+
+@query("p2_unmatched")
+def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    canonical = table(spark, d, "canonical_languages")
+    typed = languages.typed_values(table(spark, d, "language_counts"))
+    mapped = languages.map_values(typed, canonical).where("canonical_code = '-'")
+    return typed.join(mapped, "raw_value").groupBy("raw_value", "how").agg(F.count(F.lit(1)).alias("n_rows"))
