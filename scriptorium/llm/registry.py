@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import languages, lookalike
+from scriptorium.llm import languages, lookalike, matching
 from scriptorium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,19 @@ def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     typed = languages.typed_values(table(spark, d, "language_counts"))
     mapped = languages.map_values(typed, canonical).where("canonical_code = '-'")
     return typed.join(mapped, "raw_value").groupBy("raw_value", "how").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def _catalogues(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    left = table(spark, d, "external_catalog").selectExpr("catalog_id AS key", "title", "author", "year", "place_of_publication AS place")
+    right = table(spark, d, "catalog_matches").selectExpr("match_id AS key", "title", "author", "year", "place")
+    return left, right
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_records(*_catalogues(spark, d)).select(F.col("key_a").alias("catalog_id"), F.col("key_b").alias("match_id"))
+
+
+@query("p1_confidence")
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_records(*_catalogues(spark, d)).withColumnsRenamed({"key_a": "catalog_id", "key_b": "match_id"})
