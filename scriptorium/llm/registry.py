@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import languages, lookalike, matching
+from scriptorium.llm import languages, lookalike, matching, mixing, packing, tokens
 from scriptorium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,28 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_confidence")
 def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
     return matching.match_records(*_catalogues(spark, d)).withColumnsRenamed({"key_a": "catalog_id", "key_b": "match_id"})
+
+
+def _counted(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+
+
+@query("p7_packed")
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_all(_counted(spark, d), table(spark, d, "pack_sizes"))
+
+
+@query("p7_fill")
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fills(p7_packed(spark, d))
+
+
+@query("p8_mixed")
+def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(mixing.counted_once(_counted(spark, d)), table(spark, d, "mix_targets"))
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    counted, targets = mixing.counted_once(_counted(spark, d)), table(spark, d, "mix_targets")
+    return mixing.shares(mixing.mix(counted, targets), mixing.budgets(counted, targets).select("mix_name", "source", "target_share"))
