@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import languages, lookalike, matching, mixing, packing, tokens
+from scriptorium.llm import languages, lookalike, matching, mixing, packing, tokens, truncation
 from scriptorium.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,18 @@ def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     counted, targets = mixing.counted_once(_counted(spark, d)), table(spark, d, "mix_targets")
     return mixing.shares(mixing.mix(counted, targets), mixing.budgets(counted, targets).select("mix_name", "source", "target_share"))
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged_values(table(spark, d, "pages")).where("cut").select("page_id", "field")
+
+
+@query("p4_values")
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.judged_values(table(spark, d, "pages")).where("cut")
+
+
+@query("p4_sources")
+def p4_sources(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(truncation.judged_values(table(spark, d, "pages")))
