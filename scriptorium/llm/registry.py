@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import languages, lookalike, matching, mixing, packing, tokens, truncation
-from scriptorium.session import table
+from scriptorium.llm import langid, languages, lookalike, matching, mixing, packing, pagetext, tokens, truncation
+from scriptorium.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -103,3 +103,33 @@ def p4_values(spark: SparkSession, d: str) -> DataFrame:
 @query("p4_sources")
 def p4_sources(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(truncation.judged_values(table(spark, d, "pages")))
+
+
+def _book_languages(spark: SparkSession, d: str) -> DataFrame:
+    """(book_id, book_lang): the ISO 639-1 code that books.language denotes, or null."""
+    books, canonical = table(spark, d, "books").select("id", "language"), table(spark, d, "canonical_languages")
+    mapped = languages.map_values(books, canonical, value="language")
+    iso = canonical.select(F.col("code").alias("canonical_code"), F.col("iso639_1").alias("book_lang"))
+    known = mapped.join(F.broadcast(iso), "canonical_code").select("language", "book_lang")
+    return books.join(known, "language", "left").select(F.col("id").alias("book_id"), "book_lang")
+
+
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    """The segments of all pages, with book_lang."""
+    pages = table(spark, d, "pages").select("id", "book_id", "page_number", "updated_at", "ocr.data")
+    latest = pagetext.latest_pages(pages, F.col("data").alias("text")).where("text <> ''").withColumnRenamed("id", "page_id")
+    books = materialize(_book_languages(spark, d), "books")
+    texts = materialize(latest.join(books, "book_id").select("page_id", "text", F.col("book_lang").alias("lang")), "texts")
+    model = langid.fit(langid.labelled_sentences(spark, table(spark, d, "language_samples"), texts))
+    return langid.segment_pages(texts, model).join(texts.select("page_id", F.col("lang").alias("book_lang")), "page_id")
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    s = _segments(spark, d).where((F.col("main") | F.col("whole")) & ~F.col("lang").eqNullSafe(F.col("book_lang")))
+    return s.select("page_id", "lang").distinct()
+
+
+@query("p3_segments")
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d)
