@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import langid, languages, lookalike, matching, mixing, packing, pagetext, tokens, truncation
+from scriptorium.llm import langid, languages, lookalike, matching, mixing, packing, pagetext, repair, tokens, truncation
 from scriptorium.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p3_segments")
 def p3_segments(spark: SparkSession, d: str) -> DataFrame:
     return _segments(spark, d)
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return repair.noisy_lines(table(spark, d, "pages"), table(spark, d, "books"))
+
+
+@query("p5_repaired")
+def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return repair.repaired_pages(table(spark, d, "pages"), table(spark, d, "books"))
