@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import langid, languages, lookalike, matching, mixing, packing, pagetext, repair, tokens, truncation
+from scriptorium.llm import alignment, langid, languages, lookalike, matching, mixing, packing, pagetext, repair, tokens, truncation
 from scriptorium.session import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p5_repaired")
 def p5_repaired(spark: SparkSession, d: str) -> DataFrame:
     return repair.repaired_pages(table(spark, d, "pages"), table(spark, d, "books"))
+
+
+@query("p6_links")
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("id", "book_id", "page_number", "updated_at", "manually_reviewed", F.col("ocr.data").alias("src"), F.col("translation.data").alias("trg"))
+    latest = pagetext.latest_pages(pages, "manually_reviewed", "src", "trg")
+    return alignment.align_pages(latest.where("manually_reviewed").withColumnRenamed("id", "page_id"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_links(spark, d).select("page_id", "ocr_sent", "trans_sent")
