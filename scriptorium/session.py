@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +35,26 @@ def get_spark(app: str = "scriptorium", cores: str | int = "*", **conf: str) ->
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per context, so that their Python workers can import
+    it wherever they run. Spark's own file server hands it out."""
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="scriptorium-ship-")  # on the driver, which serves the file
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "scriptorium.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    sc.addPyFile(path)
+    sc._scriptorium_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; NTZ timestamps stay as they are stored."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -60,6 +82,7 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     an executor. The files go when the session's JVM ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark).rstrip('/')}/scriptorium-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
