@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.vectorized import vectorized
+
 # The digits of base 62.
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -35,12 +37,12 @@ def decode(code: str | None) -> dict | None:
     return {"book_id": f"{book:024x}", "page": page} if page >= 1 and book < 16**24 else None
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def shortlink(book_id: pd.Series, page: pd.Series) -> pd.Series:
     return pd.Series([encode(b, p) for b, p in zip(book_id, page)])
 
 
-@F.pandas_udf("struct<book_id:string,page:int>")
+@vectorized("struct<book_id:string,page:int>")
 def shortlink_parts(code: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([decode(c) or {"book_id": None, "page": None} for c in code], columns=["book_id", "page"])
 

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions.vectorized import vectorized
+
 COLUMNS = "struct<mean:array<double>,low:array<double>,p10:array<double>,p25:array<double>,median:array<double>,dark_run:array<double>,transitions:array<double>,dark_std:array<double>>"
 DARK = 180
 
@@ -76,7 +78,7 @@ def detect(pixels: bytes | None, width: int, height: int) -> dict | None:
     return {"two_pages": aspect > 1.0, "confidence": sure, "position": int(at / width * 1000 + 0.5), "text_at_split": text, "score": score}
 
 
-@F.pandas_udf(SPLIT)
+@vectorized(SPLIT)
 def detect_split(pixels: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
     none = dict.fromkeys(("two_pages", "confidence", "position", "text_at_split", "score"))
     return pd.DataFrame([detect(p, int(w), int(h)) or none for p, w, h in zip(pixels, width, height)], columns=list(none))

@@ -8,13 +8,15 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scriptorium.functions.vectorized import vectorized
+
 # Words that carry no meaning in a query.
 STOP_WORDS = set(
     "a an and are as at be but by for from had has have he her his how i in is it its me my no not of on or our she so that the their them then there these they this to was we were what when where which who why will with you your about can could did do does tell say says book text page".split()
 )
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def normalize_text(s: pd.Series) -> pd.Series:
     """Lower case, without combining accents, trimmed. Null stays null."""
     import unicodedata
@@ -118,7 +120,7 @@ def word_overlap(a: str | None, b: str | None) -> int:
     return int(total / max(len(left), len(right)) * 100 + 0.5)
 
 
-@F.pandas_udf("int")
+@vectorized("int")
 def match_confidence(title_a: pd.Series, author_a: pd.Series, title_b: pd.Series, author_b: pd.Series) -> pd.Series:
     """The best of several comparisons of title and author, with a bonus for shared title words: 0 to
     about 115."""
@@ -177,7 +179,7 @@ def replace_opening(text: Column, n: int, new: Column) -> Column:
     return F.concat_ws(" ", new, F.array_join(F.slice(s, n + 1, F.greatest(F.size(s) - n, F.lit(0))), " "))
 
 
-@F.pandas_udf("string")
+@vectorized("string")
 def string_hash(s: pd.Series) -> pd.Series:
     """Signed 32-bit polynomial hash (h * 31 + code unit) in hex, with a minus sign where negative."""
 
