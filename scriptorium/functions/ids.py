@@ -51,7 +51,7 @@ def citations(author: Column, title: Column, published: Column, doi: Column, pag
     """Struct of citation styles. A null author is Unknown, a null date n.d.; "Last, First" is turned round
     where the style wants it. year: of the translation."""
     who, when = F.coalesce(author, F.lit("Unknown")), F.coalesce(F.nullif(published, F.lit("")), F.lit("n.d."))
-    parts = F.transform(F.split(who, ","), F.trim)
+    parts = F.transform(F.split(who, ","), lambda x: F.trim(x))
     two = F.size(parts) == 2
     first_last = F.when(two, F.concat(parts[1], F.lit(" "), parts[0])).otherwise(who)
     last_first = F.when(two, F.concat(parts[0], F.lit(", "), parts[1])).otherwise(who)

@@ -32,11 +32,14 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def facets(df: DataFrame, dims: dict[str, Column]) -> DataFrame:
     """(facet, key, n) for several dimensions in one pass over the table. Array dimensions count each
     element; null keys are left out."""
-    arrays = []
-    for name, c in dims.items():
+
+
+    def tagged(name: str, c: Column) -> Column:
         is_array = dict(df.select(c.alias("x")).dtypes)["x"].startswith("array")
-        one = F.transform(F.coalesce(c, F.array()), lambda v: v.cast("string")) if is_array else F.array(c.cast("string"))
-        arrays.append(F.transform(one, lambda v, n=name: F.struct(F.lit(n).alias("facet"), v.alias("key"))))
+        one = c.cast("array<string>") if is_array else F.array(c.cast("string"))
+        return F.transform(F.coalesce(one, F.array().cast("array<string>")), lambda v: F.struct(F.lit(name).alias("facet"), v.alias("key")))
+
+    arrays = [tagged(name, c) for name, c in dims.items()]
     return df.select(F.explode(F.concat(*arrays)).alias("f")).where("f.key is not null").groupBy("f.facet", "f.key").agg(F.count(F.lit(1)).alias("n"))
 
 

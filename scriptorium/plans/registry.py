@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.plans import library  # noqa: F401  (fills the registry)
+from scriptorium.plans.base import ORACLE, QUERIES, query  # noqa: F401
 from scriptorium.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query and, where SQL can say it, its oracle."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE[name] = sql
-        return f
-
-    return add
-
 
 @query(
     "metric_stats",
