@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.plans import library  # noqa: F401  (fills the registry)
+from scriptorium.plans import activity, library  # noqa: F401  (fill the registry)
 from scriptorium.plans.base import ORACLE, QUERIES, query  # noqa: F401
 from scriptorium.session import table
 
