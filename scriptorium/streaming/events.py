@@ -32,17 +32,24 @@ def accepted(times: list, last, gap_s: float) -> tuple[list[bool], object]:
 
 def dedupe_batch(events: DataFrame, keys: list[str], time: str, tie: str, gap_s: float = 3600) -> DataFrame:
     """Stored events without those within gap_s of the last accepted one of the same keys. Each decision
-    needs the last, so the times of a key are folded in order; keys run side by side, and only times and
-    ids are gathered. Null keys form a key, null times are dropped."""
+    needs the last, so each key is read in order; partitions are sorted and scanned as they stream by, with
+    one time as the state, so a key of any length needs no memory. Null keys form a key, null times are
+    dropped."""
     kind = events.schema[tie].dataType.simpleString()
-    narrow = events.where(F.col(time).isNotNull()).select(*keys, F.col(time).cast("timestamp").alias("__t"), F.col(tie).alias("__id"))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__t", "__id"])
-        ok, _ = accepted(list(pdf["__t"]), None, gap_s)
-        return pd.DataFrame({"__id": pdf["__id"][ok]})
-
-    kept = narrow.groupBy(*keys).applyInPandas(fold, f"__id {kind}")
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    narrow = events.where(F.col(time).isNotNull()).select(F.to_json(key).alias("__key"), F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), F.col(tie).alias("__id"))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for batch in batches:
+            ids = []
+            for k, t, i in zip(batch["__key"], batch["__t"], batch["__id"]):
+                if k != key or t - last > gap_s * 1e6:
+                    key, last = k, t
+                    ids.append(i)
+            yield pd.DataFrame({"__id": pd.Series(ids, dtype=batch["__id"].dtype)})
+
+    kept = narrow.repartition("__key").sortWithinPartitions("__key", "__t", "__id").mapInPandas(scan, f"__id {kind}")
     return events.join(kept, F.col(tie) == F.col("__id"), "left_semi")
 
 
@@ -93,7 +100,7 @@ def sliding_counts(events: DataFrame, width: str = "1 hour", step: str = "15 min
 
 
 def sessions(events: DataFrame, user: str = "user_id", gap: str = "30 minutes", watermark: str = "1 hour") -> DataFrame:
-    """Sessions of a user: events with pauses under the gap."""
+    """Sessions of a user: events with pauses of at most the gap."""
     src = events.withWatermark("ts", watermark) if events.isStreaming else events
     return src.groupBy(F.session_window("ts", gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("begin"), F.col("w.end").alias("end"), "n")
 
