@@ -148,13 +148,19 @@ class Rewriter:
         self.plain = all(not m.isascii() for m in rules)  # then an ASCII text stays as it is
         self.hidden = regex.compile(r"[\p{Cf}͏᠎︀-️]+")
         self.words = regex.compile(r"[\p{L}\p{M}]+")
-        self.foreign = {s: regex.compile(rf"\p{{{s}}}") for s in ("Greek", "Cyrillic")}
-        back: dict[str, dict[str, str]] = {"Greek": {}, "Cyrillic": {}}
+        self.foreign = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
+        kinds = {s: regex.compile(rf"\p{{{s}}}") for s in ("Latin", "Greek", "Cyrillic")}
+        self.script_of = lambda c: next((s for s, p in kinds.items() if p.match(c)), "")
+        classes: dict[str, list[str]] = {}
         for member, to in sorted(rules.items()):
-            for script, pattern in self.foreign.items():
-                if len(member) == 1 and pattern.match(member) and len(to) == 1:
-                    back[script].setdefault(to, member)
-        self.back = {s: str.maketrans(m) for s, m in back.items()}
+            classes.setdefault(to, [to]).append(member)
+        self.shared = {m for ms in classes.values() for m in ms}
+        self.into: dict[str, dict[int, str]] = {s: {} for s in kinds}
+        for to, members in classes.items():
+            for m in members:
+                script = self.script_of(m)
+                if len(to) == len(m) == 1 and script and unicodedata.decomposition(m)[:1] != "<":
+                    self.into[script].setdefault(ord(to), m)
 
     def common(self, text: str | None) -> str | None:
         """The form in which texts that look the same are the same string."""
@@ -169,23 +175,33 @@ class Rewriter:
         out.append(t[at:])
         return unicodedata.normalize("NFC", "".join(out))
 
+    def one_script(self, word: str) -> str:
+        """A word in the script of its letters that have no look-alike, else in that of most of its
+        letters; as it is if several scripts have such letters."""
+        if not self.foreign.search(word):
+            return word
+        t = unicodedata.normalize("NFD", word)
+        scripts = [(self.script_of(c), c in self.shared) for c in t if c.isalpha()]
+        only = {s for s, shared in scripts if not shared and s}
+        if len(only) > 1:
+            return word
+        votes = [s for s, _ in scripts if s]
+        target = only.pop() if only else max(("Latin", "Greek", "Cyrillic"), key=votes.count)
+        return unicodedata.normalize("NFC", t.translate(self.into[target]))
+
     def readable(self, common: str | None) -> str | None:
-        """The common form with each word in one script: a word that holds a Greek or Cyrillic
-        letter without a Latin look-alike is written in that script. Depends on the common form
-        only, so equal-looking texts stay equal."""
-        if common is None or common.isascii():
+        """The common form with each word in one script. Depends on the common form only, so
+        equal-looking texts stay equal."""
+        if common is None or common.isascii() or not self.foreign.search(common):
             return common
-        for script, pattern in self.foreign.items():
-            if pattern.search(common):
-                common = self.words.sub(lambda m, p=pattern, s=script: unicodedata.normalize("NFC", unicodedata.normalize("NFD", m[0]).translate(self.back[s])) if p.search(m[0]) else m[0], common)
-        return common
+        return self.words.sub(lambda m: self.one_script(m[0]), common)
 
 
 def canonical_texts(docs: DataFrame, unique_id: str = "doc_id", text: str = "text", rules: dict[str, str] | None = None, keep_text: bool = True) -> DataFrame:
     """Each document with its text in the common form.
 
-    Result: unique_id, canonical_text (if keep_text), look (128-bit hash of the common form), exact
-    (of the text as stored), changed. A null text gives nulls and changed = false; an empty text
+    Result: unique_id, look (128-bit hash of the common form), exact (of the text as stored), and if
+    keep_text canonical_text and changed. A null text gives nulls and changed = false; an empty text
     stays empty. Whole texts are read; other columns of docs play no part. rules: from
     look_alike_rules over the same corpus if not given.
     """
@@ -193,7 +209,7 @@ def canonical_texts(docs: DataFrame, unique_id: str = "doc_id", text: str = "tex
         counts = {r["ch"]: r["n"] for r in code_point_counts(docs, text).collect()}  # at most one row per Unicode code point
         rules, _ = look_alike_rules(counts)
     kind = docs.schema[unique_id].dataType.simpleString()
-    schema = f"`{unique_id}` {kind}, {'canonical_text string, ' if keep_text else ''}look string, exact string, changed boolean"
+    schema = f"`{unique_id}` {kind}, look string, exact string{', canonical_text string, changed boolean' if keep_text else ''}"
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -204,11 +220,11 @@ def canonical_texts(docs: DataFrame, unique_id: str = "doc_id", text: str = "tex
             texts = batch["__text"].tolist()
             common = [rewriter.common(t) for t in texts]
             out = {unique_id: batch["__id"]}
-            if keep_text:
-                out["canonical_text"] = [rewriter.readable(c) for c in common]
             out["look"] = [digest(c) for c in common]
             out["exact"] = [digest(t) for t in texts]
-            out["changed"] = [c != t for c, t in zip(common, texts)]
+            if keep_text:
+                out["canonical_text"] = [rewriter.readable(c) for c in common]
+                out["changed"] = [c != t for c, t in zip(out["canonical_text"], texts)]
             yield pd.DataFrame(out)
 
     return docs.select(F.col(unique_id).alias("__id"), F.col(text).alias("__text")).mapInPandas(rewrite, schema)
