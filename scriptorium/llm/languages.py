@@ -7,10 +7,13 @@ best name of any other entry. An edit-distance check follows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.llm.matching import near
+
 # Names of languages in Latin, German, French, Italian, English, Dutch and Spanish, by English name.
 EXONYMS = """
 Latin: latina, latine, lingua latina, lateinisch, latein, latinisch, latin, latino, latijn, latijns, latín
@@ -97,7 +100,17 @@ def reference_names(canonical: DataFrame) -> DataFrame:
     return both.withColumn("alias", F.explode(forms)).where("alias <> ''").distinct()
 
 
-def map_values(values: DataFrame, canonical: DataFrame, value: str = "raw_value", threshold: float = 0.34, margin: float = 0.04) -> DataFrame:
+def slip_count(a: str, b: str) -> Column:
+    """Insertions, deletions, changes and swaps of neighbours between two names; 3 if more than two."""
+
+    @F.pandas_udf("int")
+    def count(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([next((k for k in (0, 1, 2) if near(p, q, k)), 3) for p, q in zip(x, y)], dtype="int32")
+
+    return count(a, b)
+
+
+def map_values(values: DataFrame, canonical: DataFrame, value: str = "raw_value", threshold: float = 0.12, margin: float = 0.04) -> DataFrame:
     """Each distinct value with the entry it denotes, or '-', and its score.
 
     Result: value, canonical_code, score, how (exact, prefix, typo, several or none). Null and
@@ -132,21 +145,17 @@ def map_values(values: DataFrame, canonical: DataFrame, value: str = "raw_value"
     mine = rest.select("v", "q", F.explode(grams(F.col("q"))).alias("g")).join(weight, "g", "left").withColumn("w", F.coalesce("w", F.lit(6.0)))
     own = mine.groupBy("v", "q").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("v_norm"))
     dots = mine.select("v", "g").join(index, "g").groupBy("v", "canonical_code", "alias").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
-    near = dots.join(size, ["canonical_code", "alias"]).join(own, "v").withColumn("cosine", F.col("dot") / (F.col("alias_norm") * F.col("v_norm")))
+    close = dots.join(size, ["canonical_code", "alias"]).join(own, "v").withColumn("cosine", F.col("dot") / (F.col("alias_norm") * F.col("v_norm")))
 
     # The exact check: an abbreviation of one name, or a name with one or two slips.
     abbreviated = F.col("v").rlike(r"\.\W*$") & F.col("alias").startswith(F.col("q")) & (F.length("q") >= 2) & (F.length("q") < F.length("alias"))
-    swapped = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.length("q") - 1, F.lit(1))),
-        lambda i: F.concat(F.substring("q", F.lit(1), i - 1), F.substring(F.col("q"), i + 1, F.lit(1)), F.substring(F.col("q"), i, F.lit(1)), F.substring(F.col("q"), i + 2, F.lit(99))) == F.col("alias"),
-    )
-    slips = F.when(swapped, F.lit(1)).otherwise(F.levenshtein("q", "alias"))
+    slips = slip_count("q", "alias")
     allowed = F.when(F.length("alias") < 4, 0).when(F.length("alias") < 6, 1).otherwise(2)
     judged = (
-        near.where(F.col("cosine") >= threshold / 2)
+        close.where(F.col("cosine") >= threshold)
         .withColumn("short_for", abbreviated)
         .withColumn("slips", F.when(abbreviated, F.lit(0)).otherwise(slips))
-        .where(F.col("short_for") | ((F.col("slips") <= allowed) & (F.col("cosine") >= F.when(F.col("slips") <= 1, threshold / 2).otherwise(threshold))))
+        .where(F.col("short_for") | ((F.col("slips") <= allowed) & (F.col("cosine") >= threshold)))
         .withColumn("score", F.when(F.col("short_for"), 0.6 + 0.4 * F.col("cosine")).otherwise(F.col("cosine")) - 0.25 * F.col("slips") + 0.25)
     )
     per_code = judged.groupBy("v", "canonical_code").agg(F.max("score").alias("score"), F.max("short_for").alias("short_for"))
