@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import layout, stats, text
 from scriptorium.operators import aggregates as A
-from scriptorium.operators import changes, filters, joins, nested, ordered
+from scriptorium.operators import changes, entities, filters, joins, nested, ordered
 from scriptorium.plans.base import query
 from scriptorium.sources import writers
 from scriptorium.session import table
@@ -451,3 +451,41 @@ def dashboard(spark, d):
     return nested.union_tagged(
         {"books": table(spark, d, "books").agg(n), "pages": table(spark, d, "pages").agg(F.count_distinct("id").alias("n")), "calls": usage(spark, d).agg(n), "documents": table(spark, d, "documents").agg(n)}, "section"
     )
+
+
+@query(
+    "regions_of_top_users",
+    """WITH t AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 30) SELECT coalesce(n_name,'Unknown') AS country, CAST(sum(t.n) AS BIGINT) AS visits, count(*) AS users FROM t LEFT JOIN customer ON c_custkey=user_id LEFT JOIN nation ON n_nationkey=c_nationkey GROUP BY 1""",
+)
+def regions_of_top_users(spark, d):
+    top = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(30)
+    c = joins.lookup_one(top, table(spark, d, "customer").select("c_custkey", "c_nationkey"), "user_id", "c_custkey", "x_")
+    n = joins.lookup_one(c, table(spark, d, "nation").select("n_nationkey", "n_name"), "x_c_nationkey", "n_nationkey", "y_")
+    return n.groupBy(F.coalesce("y_n_name", F.lit("Unknown")).alias("country")).agg(F.sum("n").alias("visits"), F.count(F.lit(1)).alias("users"))
+
+
+@query(
+    "interval_incidence",
+    """SELECT page, count(*) AS n FROM (SELECT unnest(generate_series(p_size, p_size + 4)) AS page FROM part) GROUP BY 1""",
+)
+def interval_incidence(spark, d):
+    p = table(spark, d, "part").select(F.col("p_size").cast("bigint").alias("a"), (F.col("p_size") + 4).cast("bigint").alias("b"))
+    return entities.expand_ranges(p, "a", "b", "page").groupBy("page").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "next_versions",
+    """SELECT g, CAST(mx.a AS VARCHAR) || '.' || CAST(mx.b + 1 AS VARCHAR) || '.0' AS next FROM (SELECT s_nationkey AS g, max({'a': CAST(s_suppkey % 3 AS INT), 'b': CAST(s_suppkey % 11 AS INT)}) AS mx FROM supplier GROUP BY 1)""",
+)
+def next_versions(spark, d):
+    v = table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.concat_ws(".", (F.col("s_suppkey") % 3).cast("string"), (F.col("s_suppkey") % 11).cast("string"), F.lit("0")).alias("v"))
+    return entities.next_version(v, "g", "v")
+
+
+@query(
+    "reply_counts",
+    """SELECT event_id, coalesce(n, 0) AS n_replies FROM events LEFT JOIN (SELECT event_id // 3 AS p, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1) ON p = event_id""",
+)
+def reply_counts(spark, d):
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.floor(F.col("event_id") / 3)).alias("parent_id"))
+    return entities.reply_counts(e, "event_id").select("event_id", "n_replies")

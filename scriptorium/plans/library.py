@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions import ids, markup, text
+from scriptorium.functions import ids, links, markup, text
 from scriptorium.operators import aggregates as A
-from scriptorium.operators import changes, filters, joins, nested, ordered
+from scriptorium.operators import changes, entities, filters, joins, nested, ordered
 from scriptorium.operators.ranking import latest_rows
 from scriptorium.plans.base import query
 from scriptorium.session import table
@@ -634,3 +634,88 @@ def related_books(spark, d):
     inc = nested.unwind(books_of(spark, d).select("id", "categories"), "categories", "cat").where("cat is not null").select("id", "cat")
     first = inc.agg(F.min("id").alias("id")).first()["id"]  # one value
     return joins.co_occurring(inc, "id", "cat", first, 10)
+
+
+@query(
+    "title_pages",
+    f"""WITH t AS (SELECT id, book_id, lower(coalesce(ocr.data,'')) AS t, row_number() OVER (PARTITION BY book_id ORDER BY page_number, id) AS rn FROM {PAGES}),
+        j AS (SELECT t.*, list_filter(regexp_split_to_array(lower(coalesce(title,'')), '\\s+'), lambda x: length(x)>3) AS tw, list_filter(regexp_split_to_array(lower(coalesce(author,'')), '\\s+'), lambda x: length(x)>3) AS aw FROM t JOIN books b ON b.id=t.book_id WHERE rn<=5),
+        r AS (SELECT *, (length(t)>=50 AND regexp_matches(t, 'excudebat|typis|apud|impensis|published|printed|anno|mdcc|mdccc|m\\.dc|m\\.d\\.|cum privilegio|sumptibus')) AS p,
+        (len(tw)>0 AND len(list_filter(tw, lambda x: contains(t, x)))>=least(2,len(tw))) OR len(list_filter(aw, lambda x: contains(t, x)))>0 AS n FROM j)
+        SELECT book_id, id AS page_id FROM r QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY CASE WHEN p AND n THEN 0 WHEN p THEN 1 ELSE 2 END, rn)=1""",
+)
+def title_pages(spark, d):
+    return entities.title_page(pages_of(spark, d, F.col("ocr.data").alias("text")), books_of(spark, d))
+
+
+@query("entity_roll_up")
+def entity_roll_up(spark, d):
+    p = pages_of(spark, d, F.explode(F.regexp_extract_all(F.coalesce("ocr.data", F.lit("")), F.lit("([A-Z][a-z]+) scribit"), F.lit(1))).alias("term"))
+    e = entities.rolled_up(p.select(F.lit("person").alias("kind"), "term", "book_id", F.col("page_number").alias("page")))
+    return entities.merge_entities(e, e).select("kind", "name", "label", "book_count", "total_mentions")
+
+
+@query(
+    "image_providers",
+    """SELECT id, CASE WHEN contains(t, 'archive.org') THEN 'archive' WHEN contains(t, 'books.google') THEN 'book_search' WHEN contains(t, 's3.amazonaws.com') OR contains(t, '.s3.') OR starts_with(t, '/Users/') OR starts_with(t, '/home/') THEN 'own_scan' WHEN coalesce(ia_identifier,'')<>'' THEN 'archive' END AS provider
+       FROM (SELECT id, ia_identifier, coalesce(thumbnail,'') AS t FROM books)""",
+)
+def image_providers(spark, d):
+    return books_of(spark, d).select("id", links.image_source(F.col("thumbnail"), F.col("ia_identifier"))["provider"].alias("provider"))
+
+
+@query(
+    "page_images",
+    f"""SELECT id, coalesce(nullif(photo_original,''), nullif(photo,'')) AS image FROM {PAGES}""",
+)
+def page_images(spark, d):
+    none = F.lit(None).cast("string")
+    return pages_of(spark, d, links.page_image(none, none, none, F.col("photo_original"), F.col("photo")).alias("image")).select("id", "image")
+
+
+@query(
+    "crop_addresses",
+    f"""SELECT count(*) AS n FROM (SELECT unnest(detected_images) AS img FROM {PAGES}) WHERE img.bbox IS NOT NULL""",
+)
+def crop_addresses(spark, d):
+    p = nested.unwind(pages_of(spark, d, "detected_images", "photo"), "detected_images", "img")
+    c = p.where("img.bbox is not null").withColumn("a", links.crop_address("/crop", F.coalesce("photo", F.lit("")), F.col("img.bbox")))
+    return A.count_where(c, n=F.col("a").startswith("/crop?url="))
+
+
+@query(
+    "layout_verdicts",
+    f"""SELECT book_id, s.n AS spreads, s.g AS singles, s.u AS unclear, CASE WHEN s.n>s.g THEN true WHEN s.g>s.n THEN false END AS needs_splitting FROM (SELECT book_id, count(*) FILTER (r>1.2) AS n, count(*) FILTER (r<0.9) AS g, count(*) FILTER (r BETWEEN 0.9 AND 1.2) AS u
+        FROM (SELECT book_id, img.bbox.width / nullif(img.bbox.height,0) AS r FROM (SELECT book_id, unnest(detected_images) AS img FROM {PAGES})) GROUP BY 1) s""",
+)
+def layout_verdicts(spark, d):
+    p = nested.unwind(pages_of(spark, d, "detected_images"), "detected_images", "img").select("book_id", F.col("img.bbox.width").alias("w"), F.col("img.bbox.height").alias("h"))
+    return entities.layout_verdict(p, "book_id", "w", "h").drop("confidence")
+
+
+@query(
+    "next_pages_to_do",
+    f"""SELECT id FROM {PAGES} WHERE id NOT IN (SELECT id FROM {PAGES} WHERE coalesce(ocr.data,'') <> '') ORDER BY id LIMIT 10""",
+)
+def next_pages_to_do(spark, d):
+    p = pages_of(spark, d, filters.has_text("ocr.data").alias("done"))
+    return entities.remaining(p.select("id"), p.where("done").select("id"), "id", 10)
+
+
+@query(
+    "titles_in_locale_order",
+    """SELECT id, CAST(row_number() OVER (ORDER BY title NULLS FIRST, id) AS INT) AS place FROM books WHERE regexp_matches(coalesce(title,''), '^[A-Z][a-z ]*$') ORDER BY place LIMIT 20""",
+)
+def titles_in_locale_order(spark, d):
+    b = books_of(spark, d).where(F.coalesce("title", F.lit("")).rlike("^[A-Z][a-z ]*$")).select("id", "title")
+    order = [F.asc_nulls_first(F.collate("title", "UNICODE")), F.asc("id")]
+    return b.orderBy(*order).limit(20).withColumn("place", F.row_number().over(W.orderBy(*order))).select("id", "place")  # 20 rows
+
+
+@query(
+    "reader_view",
+    f"""SELECT id, regexp_replace(ocr.data, '(?is)\\[\\[unclear:\\s*.*?\\]\\]', '', 'g') AS shown FROM {PAGES} WHERE ocr.data LIKE '%[[unclear:%' AND ocr.data NOT LIKE '%[[note%' AND ocr.data NOT LIKE '%->%'""",
+)
+def reader_view(spark, d):
+    p = pages_of(spark, d, F.col("ocr.data").alias("t")).where(F.col("t").contains("[[unclear:") & ~F.col("t").contains("[[note") & ~F.col("t").contains("->"))
+    return p.select("id", markup.shown(F.col("t"), with_notes=False).alias("shown"))
