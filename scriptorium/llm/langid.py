@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BITS = 21
@@ -218,37 +219,36 @@ def segment_pages(pages: DataFrame, model: Model, least: int = 60, surprise: flo
     return texts.mapInPandas(run, SEGMENTS)
 
 
-def labelled_sentences(spark, samples: DataFrame, pages: DataFrame, per_language: int = SAMPLE_PAGES_PER_LANGUAGE) -> list[tuple[str, str]]:
+def labelled_sentences(samples: DataFrame, texts: DataFrame, labels: DataFrame, per_language: int = SAMPLE_PAGES_PER_LANGUAGE) -> list[tuple[str, str]]:
     """Labelled texts for the fit: the clean samples, and sentences of a bounded number of pages whose
     book's label and whose prediction by the samples alone agree.
 
-    pages: (page_id, text, lang), lang being the label. Takes the per_language pages of each label
-    that come first by hash; their number doesn't grow with the data.
+    texts: (page_id, text); labels: (page_id, lang, n), n being the text's length. Takes the
+    per_language pages of each label that come first by hash, of at least 200 characters; their number
+    doesn't grow with the data. Only ids are ranked; the texts of the chosen are read at the end.
     """
     base = [(r["lang"], r["text"]) for r in samples.where("lang is not null and text is not null").select("lang", "text").collect()]
     first = fit(base)
-    known = pages.where(F.col("lang").isin(first.langs) & (F.length("text") >= 200))
-    # a filter by hash keeps about 4 x the wanted pages before the exact cut by rank
+    known = labels.where(F.col("lang").isin(first.langs) & (F.col("n") >= 200))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    # a filter by hash keeps about 4 x the wanted pages before the exact cut by rank
     keep = F.lit(False)
     for lang, n in counts.items():
         share = min(1.0, 4.0 * per_language / n)
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < int(share * 1_000_000)))
-    from pyspark.sql import Window as W
-
     order = W.partitionBy("lang").orderBy(F.xxhash64("page_id"), "page_id")
-    chosen = known.where(keep).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language)
-    rows = chosen.select("lang", "text").collect()  # at most per_language pages of each language
-    parts, labels = [], []
+    chosen = known.where(keep).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= per_language).select("page_id", "lang")
+    rows = texts.select("page_id", "text").join(F.broadcast(chosen), "page_id").select("lang", "text").collect()  # at most per_language of each label
+    parts, names = [], []
     for r in rows:
         for s in sentences(r["text"]):
             words = WORD.findall(s.lower())
             if len(words) >= 5:
                 parts.append((s, words))
-                labels.append(r["lang"])
+                names.append(r["lang"])
     if not parts:
         return base
     logp = first.predict([w for _, w in parts])
     pick = logp.argmax(axis=1)
     sure = logp.max(axis=1) > np.log(0.6)
-    return base + [(lang, s) for (s, _), lang, k, ok in zip(parts, labels, pick, sure) if ok and first.langs[k] == lang]
+    return base + [(lang, s) for (s, _), lang, k, ok in zip(parts, names, pick, sure) if ok and first.langs[k] == lang]

@@ -118,10 +118,11 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     """The segments of all pages, with book_lang."""
     pages = table(spark, d, "pages").select("id", "book_id", "page_number", "updated_at", "ocr.data")
     latest = pagetext.latest_pages(pages, F.col("data").alias("text")).where("text <> ''").withColumnRenamed("id", "page_id")
-    books = materialize(_book_languages(spark, d), "books")
-    texts = materialize(latest.join(books, "book_id").select("page_id", "text", F.col("book_lang").alias("lang")), "texts")
-    model = langid.fit(langid.labelled_sentences(spark, table(spark, d, "language_samples"), texts))
-    return langid.segment_pages(texts, model).join(texts.select("page_id", F.col("lang").alias("book_lang")), "page_id")
+    texts = materialize(latest.select("page_id", "book_id", "text"), "texts")
+    labels = texts.select("page_id", "book_id", F.length("text").alias("n")).join(_book_languages(spark, d), "book_id", "left")
+    labels = materialize(labels.select("page_id", F.col("book_lang").alias("lang"), "n"), "labels")
+    model = langid.fit(langid.labelled_sentences(table(spark, d, "language_samples"), texts, labels))
+    return langid.segment_pages(texts, model).join(labels.select("page_id", F.col("lang").alias("book_lang")), "page_id")
 
 
 @query("p3_found")

@@ -58,6 +58,7 @@ def test_model_survives_pickling(model):
 
 
 def test_bounded_sample(spark, samples):
-    pages = spark.createDataFrame([(f"p{i}", " ".join([LA] * 3), "la") for i in range(50)] + [("n", None, None)], "page_id string, text string, lang string")
-    got = langid.labelled_sentences(spark, samples, pages, per_language=5)
+    texts = spark.createDataFrame([(f"p{i}", " ".join([LA] * 3)) for i in range(50)] + [("n", None)], "page_id string, text string")
+    labels = spark.createDataFrame([(f"p{i}", "la", 300) for i in range(50)] + [("n", None, None)], "page_id string, lang string, n int")
+    got = langid.labelled_sentences(samples, texts, labels, per_language=5)
     assert 140 <= len(got) <= 140 + 5 * 6
