@@ -37,8 +37,8 @@ def mix(counted: DataFrame, targets: DataFrame, unique_id: str = "doc_id", sourc
     """(mix_name, source, unique_id, tokens, repeats): the records of each mix.
 
     Every record is used budget div have times, and once more while the prefix sum in random order
-    stays within the rest of the budget, so a source falls short of its budget by less than one
-    record. Records without tokens are never chosen. targets: the list of mixes, of a size that
+    stays within the rest of the budget; the record on the cut is taken if that comes nearer to the
+    budget. So a source misses its budget by at most half a record. Records without tokens are never chosen. targets: the list of mixes, of a size that
     doesn't grow with the records; it is joined by source, whose rows are spread by the hash order.
     """
     # 52 random bits per record and seed
@@ -49,7 +49,9 @@ def mix(counted: DataFrame, targets: DataFrame, unique_id: str = "doc_id", sourc
     whole = F.floor(F.col("budget") / F.col("have"))
     rest = F.col("budget") - whole * F.col("have")
     chosen = summed.join(F.broadcast(goals) if goals_fit(targets) else goals, "source")
-    repeats = (whole + (F.col("prefix") <= rest).cast("int")).cast("int")
+    below = F.col("prefix") - F.col("tokens")
+    again = (F.col("prefix") <= rest) | ((below < rest) & (F.col("prefix") - rest < rest - below))
+    repeats = (whole + again.cast("int")).cast("int")
     return chosen.withColumn("repeats", repeats).where("repeats > 0").select("mix_name", "source", unique_id, "tokens", "repeats")
 
 
