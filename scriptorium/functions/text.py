@@ -10,9 +10,18 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.vectorized import vectorized
 
-# Words that carry no meaning in a query.
+# Words left out of the keywords of a question about a book.
 STOP_WORDS = set(
-    "a an and are as at be but by for from had has have he her his how i in is it its me my no not of on or our she so that the their them then there these they this to was we were what when where which who why will with you your about can could did do does tell say says book text page".split()
+    """a an the is are was were be been being have has had do does did will would could should may might must shall can need
+    dare ought used to of in for on with at by from as into through during before after above below between and but or nor
+    so yet both either neither not only own same than too very just what which who whom this that these those i me my we
+    our you your he him his she her it its they them their about tell says said does mean book text author page pages read
+    write wrote written""".split()
+)
+# Words left out of the search terms of a question about a page.
+QUESTION_WORDS = set(
+    """what is the a an of in to and or how why does do this that these those it its about from with for on at by as be are
+    was were been have has had can could would should will may might mean means meaning think you your here there""".split()
 )
 
 
@@ -71,8 +80,9 @@ def query_keywords(query: str) -> list[str]:
 
 
 def search_terms(question: str, most: int = 3) -> list[str]:
-    """The longest different keywords of a question."""
-    return sorted(dict.fromkeys(query_keywords(question)), key=lambda w: -len(w))[:most]
+    """The longest different terms of a question."""
+    words = re.sub(r"[?.,!'\"]", "", question.lower()).split()
+    return sorted(dict.fromkeys(w for w in words if len(w) > 2 and w not in QUESTION_WORDS), key=lambda w: -len(w))[:most]
 
 
 def keyword_score(text: Column, words: list[str]) -> Column:

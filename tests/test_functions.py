@@ -32,7 +32,7 @@ def test_word_measures(spark):
     assert one(spark, text.word_jaccard(F.col("a"), F.col("b")), a="The art of gold", b="Art of the ring") == 50
     assert text.word_overlap("Agrippa opera", "Agrippae opera omnia") == 60
     assert text.word_overlap("", "x") == 0
-    assert text.query_keywords("What does the author say about mercury?") == ["author", "mercury"]
+    assert text.query_keywords("What does the author say about mercury?") == ["say", "mercury"]
     assert text.search_terms("mercury sulphur sal mercury philosophers") == ["philosophers", "mercury", "sulphur"]
 
 
