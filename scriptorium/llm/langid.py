@@ -126,7 +126,8 @@ def fit(texts: list[tuple[str, str]], epochs: int = 6, rate: float = 0.25, seed:
             for w in words:
                 if w not in cache:
                     cache[w] = word_features(w)
-            rows.append((langs.index(lang), np.concatenate([cache[w] for w in words])))
+            f = np.concatenate([cache[w] for w in words])
+            rows.append((langs.index(lang), f, np.unique(f)))
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held = set(order[: len(rows) // 10].tolist()) if len(rows) >= 200 else set()
@@ -135,17 +136,16 @@ def fit(texts: list[tuple[str, str]], epochs: int = 6, rate: float = 0.25, seed:
         for i in rng.permutation(len(rows)):
             if i in held:
                 continue
-            k, f = rows[i]
+            k, f, u = rows[i]
             y, scale = code[k], 1 / np.sqrt(len(f))
             step = -y / (1 + np.exp(np.clip(weights[f].sum(axis=0) * scale * y, -30, 30))) * scale
-            u = np.unique(f)
             squares[u] += step * step
             weights[u] -= rate * step / np.sqrt(squares[u])
     trust = np.ones(BITS)
     if held:
         hits = np.zeros(BITS)
         for i in held:
-            k, f = rows[i]
+            k, f, _ = rows[i]
             hits += np.sign(weights[f].sum(axis=0)) == code[k]
         trust = np.maximum(hits / len(held) - 0.5, 0.05) * 2
     return Model(langs, code, weights, trust)

@@ -121,7 +121,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     texts = materialize(latest.select("page_id", "book_id", "text"), "texts")
     labels = texts.select("page_id", "book_id", F.length("text").alias("n")).join(_book_languages(spark, d), "book_id", "left")
     labels = materialize(labels.select("page_id", F.col("book_lang").alias("lang"), "n"), "labels")
-    model = langid.fit(langid.labelled_sentences(table(spark, d, "language_samples"), texts, labels))
+    model = langid.fit(langid.labelled_sentences(table(spark, d, "language_samples"), texts, labels), epochs=3)
     return langid.segment_pages(texts, model).join(labels.select("page_id", F.col("lang").alias("book_lang")), "page_id")
 
 
