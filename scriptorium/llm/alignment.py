@@ -77,18 +77,27 @@ def arrays(sentences) -> list[np.ndarray]:
     return [np.asarray(x, dtype=np.int64) for x in sentences]
 
 
-def near_prior(n: int, m: int, width: float = 0.09) -> np.ndarray:
-    """Weights of sentence pairs by how alike their relative places are; each row sums to 1."""
+def near_prior(n: int, m: int, width: float = 0.09, top: float = 0.3) -> np.ndarray:
+    """Weights of sentence pairs by how alike their relative places are. Each row sums to 1, but on long
+    pages, where its largest weight would fall under `top`, it is scaled up to that, so that their words
+    are learned too; the row then sums to more, and so does what chance gives."""
     x, y = (np.arange(n) + 0.5) / n, (np.arange(m) + 0.5) / m
     w = np.exp(-((x[:, None] - y[None, :]) ** 2) / (2 * width**2))
-    w[w < 0.1] = 0
-    return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-9)
+    w[w < 0.05] = 0
+    w /= np.maximum(w.sum(axis=1, keepdims=True), 1e-9)
+    best = w.max(axis=1, keepdims=True)
+    return np.where(best > 0, w * np.maximum(1.0, top / np.maximum(best, 1e-9)), 0.0)
 
 
 #: Key under which the number of sentences is counted.
 SENTENCES = -(1 << 60)
-#: Link weights are counted in so many steps, so that counting needs no sums of floats.
-STEPS = 5
+#: Keys from here on count, of each source word, the weights of its sentences' rows.
+MASSES = -(1 << 40)
+#: Weights are counted as whole numbers of so small a part, so that sums don't depend on their order.
+#: The least weight of the prior is three of them.
+STEPS = 200
+#: Most word pairs held before they are summed, and most cells of a page's word matrix at once.
+HELD, CELLS = 3_000_000, 1_000_000
 
 
 class Lexicon:
@@ -154,9 +163,10 @@ class Lexicon:
         return np.minimum(sim, 1.0), n_s, n_t
 
 
-def transport(sim: np.ndarray, a: np.ndarray, b: np.ndarray, null_cost: float, eps: float, rounds: int, drift: float = 0.12) -> np.ndarray:
-    """Entropic optimal transport of sentence masses with a null on either side; Sinkhorn scaling.
-    Returns the plan without the nulls. A small cost of distance in place breaks ties."""
+def transport(sim: np.ndarray, a: np.ndarray, b: np.ndarray, null_cost: float, eps: float, tolerance: float, drift: float = 0.12) -> np.ndarray:
+    """Entropic optimal transport of sentence masses with a null on either side; Sinkhorn scaling until
+    every source sentence's mass is met but for the share `tolerance`. Returns the plan without the
+    nulls. A small cost of distance in place breaks ties."""
     n, m = sim.shape
     x, y = (np.arange(n) + 0.5) / n, (np.arange(m) + 0.5) / m
     cost = np.full((n + 1, m + 1), null_cost)
@@ -166,13 +176,19 @@ def transport(sim: np.ndarray, a: np.ndarray, b: np.ndarray, null_cost: float, e
     a, b = np.maximum(a, 0.5) / a.sum() if a.sum() else np.full(n, 1 / n), np.maximum(b, 0.5) / b.sum() if b.sum() else np.full(m, 1 / m)
     a, b = np.append(a, 1.0), np.append(b, 1.0)
     u, v = np.ones(n + 1), np.ones(m + 1)
-    for _ in range(rounds):
-        u = a / (k @ v)
+    for _ in range(ENDLESS):
+        new = a / (k @ v)
+        close = np.abs(new / u - 1).max() <= tolerance  # u * (k @ v), the mass met, against a
+        u = new
         v = b / (k.T @ u)
+        if close:
+            break
     return (u[:, None] * k * v[None, :])[:n, :m] / np.minimum(a[:n, None], b[None, :m])
 
 
-SETTINGS = {"null_cost": 0.55, "eps": 0.06, "rounds": 30}
+SETTINGS = {"null_cost": 0.55, "eps": 0.06, "tolerance": 1e-3}
+#: The scaling converges, as all costs are finite; this only guards against a tolerance out of reach of floats.
+ENDLESS = 100_000
 
 
 def page_pairs(pages: DataFrame) -> DataFrame:
@@ -180,45 +196,66 @@ def page_pairs(pages: DataFrame) -> DataFrame:
     return pages.where("src <> '' and trg <> ''").select("page_id", "src", "trg")
 
 
+def page_pair_counts(src: list[np.ndarray], trg: list[np.ndarray], level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, sums of levels) of the word pairs of one page, each pair once; level: of each sentence pair."""
+    words, at = np.unique(np.concatenate(src), return_inverse=True)
+    place, into = np.unique(np.concatenate(trg), return_inverse=True)
+    if not len(words) or not len(place):
+        return
+    of = np.zeros((len(words), len(src)))
+    of[at, np.repeat(np.arange(len(src)), [len(x) for x in src])] = 1.0
+    has = np.zeros((len(trg), len(place)))
+    has[np.repeat(np.arange(len(trg)), [len(x) for x in trg]), into] = 1.0
+    rows = level @ has
+    size = max(1, CELLS // len(place))
+    for k in range(0, len(words), size):
+        sums = of[k : k + size] @ rows
+        i, j = np.nonzero(sums)
+        yield (words[k : k + size][i] << 31) | place[j], sums[i, j].astype(np.int64)
+
+
 def pair_counts(texts: DataFrame, lexicon: Lexicon | None) -> DataFrame:
     """(key, c): weighted counts of word pairs in sentences that correspond: at like places if there is
-    no lexicon yet, else by the transport plan. The keys -1 - s, t + 2^62 and SENTENCES count the single
-    words and the sentences, so that one aggregation does all. Counted within each batch first."""
+    no lexicon yet, else by the transport plan. The keys -1 - s, MASSES - s, t + 2^62 and SENTENCES count
+    the single words, the weights of their rows and the sentences, so that one aggregation does all.
+    Counted within each batch first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            steps: list[list[np.ndarray]] = [[] for _ in range(STEPS + 1)]
-            n_pages = 0
+            parts: list[tuple[np.ndarray, np.ndarray]] = []
+            held = 0
             for src, trg in zip(batch["src"], batch["trg"]):
                 s, t = arrays(src), arrays(trg)
                 if lexicon is None:
                     w = near_prior(len(s), len(t))
+                    mass = w.sum(axis=1)
                 else:
                     sim, a, b = lexicon.similarity(s, t)
                     w = np.minimum(transport(sim, a, b, **SETTINGS), 1.0)
-                level = np.floor(w * STEPS + 0.5).astype(int)
-                high = [x[:, None] << 31 for x in s]
-                for i, j in zip(*(x.tolist() for x in np.nonzero(level))):
-                    steps[level[i, j]].append((high[i] | t[j]).ravel())
-                steps[STEPS] += [-1 - x for x in s] + [x + (1 << 62) for x in t] + [np.full(len(s), SENTENCES)]
-                n_pages += 1
-                if n_pages % 800 == 0:
-                    yield counted(steps)
-                    steps = [[] for _ in range(STEPS + 1)]
-            yield counted(steps)
-
-    return texts.mapInPandas(run, "key bigint, c double").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def counted(steps: list[list[np.ndarray]]) -> pd.DataFrame:
-    """Summed weights of the keys of each step."""
-    keys, sums = [np.empty(0, np.int64)], [np.empty(0)]
-    for k, parts in enumerate(steps):
-        if k and parts:
-            unique, n = np.unique(np.concatenate(parts), return_counts=True)
-            keys.append(unique)
-            sums.append(n * (k / STEPS))
-    return pd.DataFrame({"key": np.concatenate(keys), "c": np.concatenate(sums)})
+                    mass = np.ones(len(s))
+                single = np.concatenate([*(-1 - x for x in s), *(x + (1 << 62) for x in t), np.full(len(s), SENTENCES)])
+                parts.append((single, np.full(len(single), STEPS)))
+                parts.append((MASSES - np.concatenate(s), np.repeat(np.rint(mass * STEPS).astype(np.int64), [len(x) for x in s])))
+                held += 2 * len(single)
+                for keys, sums in page_pair_counts(s, t, np.rint(w * STEPS)):
+                    parts.append((keys, sums))
+                    held += len(keys)
+                    if held > HELD:
+                        yield counted(parts)
+                        parts, held = [], 0
+            if parts:
+                yield counted(parts)
+
+    return texts.mapInPandas(run, "key bigint, c bigint").groupBy("key").agg((F.sum("c") / STEPS).alias("c"))
+
+
+def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> pd.DataFrame:
+    """The sums of each key."""
+    keys, sums = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+    return pd.DataFrame({"key": keys[first], "c": np.add.reduceat(sums[order], first) if len(keys) else sums})
 
 
 def learn(texts: DataFrame, lexicon: Lexicon | None, least: float = 0.06, support: float = 1.2) -> Lexicon:
@@ -227,6 +264,8 @@ def learn(texts: DataFrame, lexicon: Lexicon | None, least: float = 0.06, suppor
     The share doesn't depend on how large a part of the corpus a language is."""
     counts = materialize(pair_counts(texts, lexicon), "pairs")
     src = counts.where(F.col("key").between(-(1 << 32), -1)).select((-1 - F.col("key")).alias("s"), F.col("c").alias("n_s"))
+    masses = counts.where(F.col("key").between(MASSES - (1 << 32), MASSES)).select((MASSES - F.col("key")).alias("s"), F.col("c").alias("mass"))
+    src = src.join(masses, "s")
     trg = counts.where(F.col("key") >= 1 << 62).select((F.col("key") - (1 << 62)).alias("t"), F.col("c").alias("n_t"))
     counted_sentences = counts.where(F.col("key") == SENTENCES).first()
     total = float(counted_sentences["c"]) if counted_sentences else 1.0
@@ -234,7 +273,7 @@ def learn(texts: DataFrame, lexicon: Lexicon | None, least: float = 0.06, suppor
     scored = (
         pairs.join(src, "s")
         .join(trg, "t")
-        .withColumn("w", (F.col("c") / F.col("n_s") - F.col("n_t") / total) * F.col("c") / (F.col("c") + 1))
+        .withColumn("w", (F.col("c") / F.col("n_s") - F.col("mass") / F.col("n_s") * F.col("n_t") / total) * F.col("c") / (F.col("c") + 1))
         .where(F.col("w") >= least)
     )
     kept = scored.groupBy("s").agg(F.max("w").alias("top")).join(scored, "s").where(F.col("w") >= F.col("top") * 0.2)
@@ -273,7 +312,7 @@ def align(texts: DataFrame, lexicon: Lexicon, share: float = 0.5, least: float =
     return texts.mapInPandas(run, "page_id string, ocr_sent int, trans_sent int, strength double, kind string")
 
 
-def align_pages(pages: DataFrame, rounds: int = 2) -> DataFrame:
+def align_pages(pages: DataFrame, rounds: int = 3) -> DataFrame:
     """Links of all pages (page_id, src, trg), with a lexicon learned from all of them. An empty table
     gives an empty table."""
     texts = materialize(encoded(pages), "bitexts")

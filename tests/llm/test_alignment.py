@@ -59,3 +59,36 @@ def test_sentences_are_counted_in_the_whole_value():
     c = alignment.Coder()
     assert len(alignment.sentence_codes("A b. C d! <note>x.</note>\nE f?  G", c)) == 4
     assert [set(x) for x in alignment.sentence_codes("in-\nter alia.", c)] == [{c("inter"), c("alia")}]
+
+
+def test_long_pages_teach_the_lexicon(spark):
+    """Of pages with 100 sentences each, every weight of the prior is small; the words are learned all the same."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdefghiklmnoprstu")
+    source, target = (sorted({"".join(rng.choice(letters, 7)) for _ in range(60)}) for _ in "st")
+    rows = []
+    for p in range(25):
+        picks = rng.integers(0, 60, (100, 4))
+        src, trg = ([" ".join(words[k] for k in pick) + "." for pick in picks] for words in (source, target))
+        rows.append((f"p{p}", " ".join(src), " ".join(trg)))
+    df = spark.createDataFrame(rows, "page_id string, src string, trg string")
+    first = alignment.learn(alignment.encoded(df), None)
+    pairs = {(alignment.code(s) << 31) | alignment.code(t) for s, t in zip(source, target)}
+    assert len(pairs & set(first.entries.tolist())) >= 57
+    got = {(r.page_id, r.ocr_sent, r.trans_sent) for r in alignment.align_pages(df).collect()}
+    truth = {(f"p{p}", k, k) for p in range(25) for k in range(1, 101)}
+    assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97
+
+
+def test_prior_gives_every_sentence_a_weight():
+    for n, m in ((1, 1), (9, 7), (50, 50), (90, 100), (2000, 1500)):
+        level = np.rint(alignment.near_prior(n, m) * alignment.STEPS)
+        assert (level.max(axis=1) >= 0.29 * alignment.STEPS).all()
+
+
+def test_transport_meets_the_masses():
+    rng = np.random.default_rng(3)
+    sim = rng.random((40, 30)) ** 4
+    a, b = rng.integers(1, 20, 40).astype(float), rng.integers(1, 20, 30).astype(float)
+    loose, exact = (alignment.transport(sim, a, b, **alignment.SETTINGS | {"tolerance": x}) for x in (alignment.SETTINGS["tolerance"], 1e-10))
+    assert np.abs(loose - exact).max() < 0.02
