@@ -20,12 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, small
 
 #: The blocks of a record's bit vector; all tables, each a pair of blocks that must agree.
 BLOCKS = ["surname", "year", "place", "word1", "word2"]
 TABLES = [(i, j) for j in range(len(BLOCKS)) for i in range(j)]
-#: A table's key under which more pairs would meet is divided by a third block that must agree.
+#: A table's key under which more pairs would meet is cut into slices of about so many.
 MOST_PAIRS = 250_000
 FIELD_BITS = 256
 
@@ -229,37 +229,31 @@ def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     none.
 
     A pair comes from the table of its first two agreeing blocks only, so no distinct is needed.
-    Under a key where more than MOST_PAIRS pairs would meet (a frequent author in a frequent town) a
-    third block must agree too, and so on; the pairs that agree in just those two blocks are left
-    out there, as they differ in everything else.
+    Under a key where more than MOST_PAIRS pairs would meet (a frequent author in a frequent town) the
+    two sides are cut into slices, and each slice of the one meets each of the other, about MOST_PAIRS
+    pairs at once, so no task holds the pairs of a frequent key and none is left out.
     """
     def postings(df: DataFrame, x: str) -> DataFrame:
         keys = [F.struct(F.lit(t).alias("tab"), F.xxhash64(F.lit(t), F.col("blocks")[i], F.col("blocks")[j]).alias("key"), (F.col("blocks")[i].isNotNull() & F.col("blocks")[j].isNotNull()).alias("ok")) for t, (i, j) in enumerate(TABLES)]
         return df.select(F.col("form").alias(f"form_{x}"), F.col("blocks").alias(f"blocks_{x}"), F.explode(F.filter(F.array(*keys), lambda k: k["ok"])).alias("k")).select(f"form_{x}", f"blocks_{x}", "k.tab", "k.key")
 
-    def refine(df: DataFrame, x: str, hot: DataFrame) -> DataFrame:
-        """The postings under hot keys, once for each later block, which joins the key."""
-        later = F.filter(F.transform(F.col(f"blocks_{x}"), lambda v, i: F.struct(i.alias("i"), v.alias("v"))), lambda b: b["v"].isNotNull() & (b["i"] > F.col("last")))
-        return df.join(hot, ["tab", "key"]).withColumn("b", F.explode(later)).select(
-            f"form_{x}", f"blocks_{x}", (F.col("tab") * 10 + F.col("b.i") + 100).alias("tab"), F.xxhash64("key", "b.i", "b.v").alias("key"), F.col("b.i").alias("last"), F.concat("used", F.array(F.col("b.i"))).alias("used")
-        )
-
-    used = F.element_at(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in TABLES]), F.col("tab") + 1)
-    a, b = (postings(df, x).withColumn("used", used).withColumn("last", F.element_at("used", -1)) for df, x in ((left, "a"), (right, "b")))
-    found = None
+    a, b = postings(left, "a"), postings(right, "b")
     agree = F.filter(F.transform(F.zip_with("blocks_a", "blocks_b", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
-    for depth in (2, 3, 4, 5):
-        counts = a.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_a")).join(b.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_b")), ["tab", "key"])
-        hot = materialize(counts.where((F.col("n_a") * F.col("n_b") > MOST_PAIRS) & F.lit(depth < len(BLOCKS))).select("tab", "key"), "hot")
-        some = not hot.isEmpty()
-        cool = (lambda df: df.join(hot, ["tab", "key"], "left_anti")) if some else (lambda df: df)
-        pairs = cool(a).drop("last").join(cool(b).drop("last", "used"), ["tab", "key"])
-        pairs = pairs.where(F.slice(agree, 1, depth) == F.col("used")).select("form_a", "form_b")
-        found = pairs if found is None else found.unionByName(pairs)
-        if not some:
-            break
-        a, b = refine(a, "a", hot), refine(b, "b", hot)
-    return found
+    used = F.element_at(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in TABLES]), F.col("tab") + 1)
+    counts = a.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_a")).join(b.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_b")), ["tab", "key"])
+    meet = F.col("n_a") * F.col("n_b")
+    parts = lambda n: F.ceil(F.col(n) / math.isqrt(MOST_PAIRS)).cast("int")
+    hot = materialize(counts.where(meet > MOST_PAIRS).select("tab", "key", parts("n_a").alias("parts_a"), parts("n_b").alias("parts_b")), "hot")
+
+    def sliced(df: DataFrame, x: str, y: str) -> DataFrame:
+        """Each posting in one slice of its own side, once for each slice of the other side."""
+        cut = df.join(small(hot, 100_000), ["tab", "key"], "left")
+        own = F.pmod(F.xxhash64(f"form_{x}"), F.coalesce(f"parts_{x}", F.lit(1))).cast("int")
+        others = F.sequence(F.lit(0), F.coalesce(f"parts_{y}", F.lit(1)) - 1)
+        return cut.withColumn(f"slice_{x}", own).withColumn(f"slice_{y}", F.explode(others)).drop("parts_a", "parts_b")
+
+    pairs = sliced(a, "a", "b").join(sliced(b, "b", "a"), ["tab", "key", "slice_a", "slice_b"])
+    return pairs.where(F.slice(agree, 1, 2) == used).select("form_a", "form_b")
 
 
 def agreement(pairs: DataFrame, common_words: list[str]) -> DataFrame:

@@ -60,6 +60,15 @@ def test_block_pairs_are_all_found(spark, monkeypatch):
     assert len(hot) == len(set(hot)) and set(hot) <= want and {(i, j) for i, j in want if agree(rows[i], rows[j]) == 5} <= set(hot)
 
 
+def test_hot_keys_lose_no_pair(spark, monkeypatch):
+    """Also pairs that agree in no third block are found under hot keys, each once."""
+    rows = [[1, 2, 10 + i % 9, None if i % 4 == 0 else 30 + i, 100 + i] for i in range(50)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "form bigint, blocks array<bigint>")
+    monkeypatch.setattr(matching, "MOST_PAIRS", 60)
+    got = [tuple(r) for r in matching.close_pairs(df, df).collect()]
+    assert len(got) == 2500 and set(got) == {(i, j) for i in range(50) for j in range(50)}
+
+
 def test_confidences_separate():
     patterns = [(2, 3, 3, 3, 1, 2, 90), (2, 3, 0, 0, 1, 0, 80), (1, 0, 0, 1, 1, 0, 300), (1, 1, 3, 3, 1, 2, 10)]
     c = matching.confidences(patterns)
