@@ -318,15 +318,16 @@ def noisy_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     return out.unionByName(misread).distinct()
 
 
-def bigrams_with(texts: DataFrame, wanted: set[str]) -> DataFrame:
-    """(a, b, n): how often two words stand next to each other in the corpus, one of them in wanted."""
+def bigrams_with(texts: DataFrame, wanted: set[str] | None) -> DataFrame:
+    """(a, b, n): how often two words stand next to each other in the corpus, one of them in wanted;
+    of all words if wanted is None."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             counts: Counter = Counter()
             for t in batch["text"]:
                 ws = WORD.findall(BROKEN.sub(r"\1", t).lower())
-                counts.update((a, b) for a, b in zip(ws, ws[1:]) if a in wanted or b in wanted)
+                counts.update((a, b) for a, b in zip(ws, ws[1:]) if wanted is None or a in wanted or b in wanted)
             yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["a", "b", "n"])
 
     return texts.select("text").mapInPandas(run, "a string, b string, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
@@ -338,13 +339,21 @@ def chosen_repairs(texts: DataFrame, structure: DataFrame, wrong: DataFrame, mos
     Of several candidates the one wins whose bigrams with the words before and after are most
     frequent in the corpus; then the more frequent form, then the first by letters. Bigrams are
     counted only for candidates of ambiguous forms; if these are more than most_ambiguous, so that
-    they'd not fit a task, frequency alone decides for all.
+    they'd not fit a task, all bigrams are counted and those asked for are found by a join, with the
+    same result.
     """
     found = wrong_words(structure, wrong)
-    forms = wrong.groupBy("word").agg(F.collect_set("fix").alias("fixes")).where(F.size("fixes") > 1).select(F.explode("fixes").alias("fix")).distinct()
+    several = wrong.groupBy("word").agg(F.collect_set("fix").alias("fixes")).where(F.size("fixes") > 1)
+    forms = several.select(F.explode("fixes").alias("fix")).distinct()
     listed = forms.limit(most_ambiguous + 1).collect()
-    if 0 < len(listed) <= most_ambiguous:
-        pairs = materialize(bigrams_with(texts, {r["fix"] for r in listed}), "bigrams")
+    if listed:
+        if len(listed) <= most_ambiguous:
+            pairs = bigrams_with(texts, {r["fix"] for r in listed})
+        else:
+            open_ = found.join(several.select("word"), "word", "left_semi")
+            asked = open_.select(F.explode(F.array(F.struct(F.col("before").alias("a"), F.col("fix").alias("b")), F.struct(F.col("fix").alias("a"), F.col("after").alias("b")))).alias("x")).select("x.*").distinct()
+            pairs = bigrams_with(texts, None).join(asked, ["a", "b"], "left_semi")
+        pairs = materialize(pairs, "bigrams")
         left = pairs.select(F.col("a").alias("before"), F.col("b").alias("fix"), F.col("n").alias("n_before"))
         right = pairs.select(F.col("a").alias("fix"), F.col("b").alias("after"), F.col("n").alias("n_after"))
         found = found.join(left, ["before", "fix"], "left").join(right, ["fix", "after"], "left")

@@ -62,6 +62,15 @@ def test_context_decides(spark):
     assert values(repair.chosen_repairs(texts, s, wrong).select("page_id", "fix")) == [("p", "mare"), ("q", "more")]
 
 
+def test_context_decides_for_any_number_of_forms(spark):
+    """The bigrams found by a join, which many ambiguous forms need, choose as those of a collected set."""
+    texts = spark.createDataFrame([(f"t{i}", "ad mare magnum it") for i in range(40)] + [(f"u{i}", "cum more suo it") for i in range(60)], "page_id string, text string")
+    wrong = spark.createDataFrame([("mcre", "mare", 1, 40), ("mcre", "more", 1, 60)], "word string, fix string, n bigint, n_fix bigint")
+    odd = "array<struct<line:int,rest:int,word:string,before:string,after:string>>"
+    s = spark.createDataFrame([("p", [(1, 0, "mcre", "ad", "")]), ("q", [(1, 0, "mcre", "", "")]), ("r", [(1, 0, "mcre", "", "magnum")])], f"page_id string, unknown {odd}")
+    assert values(repair.chosen_repairs(texts, s, wrong, most_ambiguous=1).select("page_id", "fix")) == [("p", "mare"), ("q", "more"), ("r", "mare")]
+
+
 def test_empty_and_long(spark, books):
     assert repair.noisy_lines(pages(spark, []), books).count() == 0
     assert repair.repaired_pages(pages(spark, [("n", "b", 1.0, None)]), books).count() == 0
