@@ -18,7 +18,7 @@ HEADING = r"(?:(?:fol\. ?\w+|p\. ?\w+|['’]?[\p{Lu}\d][^\s]*|\d+\.?|\[\d+\]|- ?
 HYPHENS = "-=⸗¬‐­"
 
 TRAILING = rf"(?:(?:^|\n)[ \t]*(?:{NUMBER}|{FURNITURE})?[ \t]*)+$"
-LEADING = rf"^(?:[ \t]*(?:{NUMBER}|{FURNITURE}|{HEADING})?[ \t]*\n)+"
+LEADING = rf"^(?:[ \t]*(?:{NUMBER}|{FURNITURE}|(?:{NUMBER}[ \t]{{2,}})?{HEADING})?[ \t]*\n)+"
 
 
 def latest_pages(pages: DataFrame, *columns: Column | str) -> DataFrame:

@@ -1,9 +1,12 @@
 """Problem 4: values that were cut off before their text was complete.
 
-Two kinds of evidence. A value that is a strict prefix of a longer value elsewhere is found by a
-prefix self-join: values that share the hash of a fixed-length prefix are sorted, and a value that
-the next one extends was cut. Most cut values have no longer copy, though; those are found by their
-end: running text that stops within a sentence and isn't taken up at the top of the next page.
+A value that is a strict prefix of a longer value elsewhere is found by a prefix self-join: values
+that share the hash of a fixed-length prefix are sorted, and a value that the next one extends has a
+longer copy. That proves a cut if the value stops within a sentence, or if the longer copy is another
+state of the same page; a whole text with which a longer one happens to begin wasn't cut. Most cut
+values have no longer copy, though; those are found by their end: running text that stops within a
+sentence and isn't taken up at the top of the next page, or stops with the mark of a cut or exactly
+at a length at which its source cuts.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ def unfinished(text: Column) -> Column:
     return (F.length(b) > 0) & (F.length(b) == F.length(F.rtrim(F.regexp_replace(text, r"\s+$", "")))) & ~whole
 
 
+def marked(text: Column) -> Column:
+    """Whether the text ends with the dots that a transfer puts where it cut."""
+    return F.rtrim(text).rlike(r"(?:\.\.\.|…)$")
+
+
 def goes_on(text: Column) -> Column:
     """Whether the running text begins with a small letter, behind headers and numbers."""
     return F.regexp_replace(text, pagetext.LEADING, "").rlike(r"^[ \t]*\p{Ll}")
@@ -68,9 +76,22 @@ def page_fields(pages: DataFrame) -> DataFrame:
     return pages.where("id is not null").select("id", F.explode(F.array(one("ocr"), one("translation"))).alias("x")).select("id", "x.*").where("text <> ''")
 
 
+def limits(values: DataFrame, times: int = 10, around: int = 10) -> DataFrame:
+    """(source, field, length): the lengths at which a source cuts. At such a length it has over
+    `times` as many values that stop within a sentence as at a length nearby: the mean over the
+    `around` lengths to either side, and one more, as a mean of few says little. Takes (source, field,
+    length, open) of all values; works on the counts by length. A null source is a source."""
+    counts = values.where("open").groupBy("source", "field", "length").agg(F.count(F.lit(1)).alias("n"))
+    near = F.sum("n").over(W.partitionBy("source", "field").orderBy("length").rangeBetween(-around, around)) - F.col("n")
+    return counts.withColumn("near", near).where(F.col("n") > times * (F.col("near") / (2 * around) + 1)).select("source", "field", "length")
+
+
 def judged_values(pages: DataFrame) -> DataFrame:
     """(page_id, field, source, length, cut, why) for each value of at least 60 characters of the
-    latest states. why: prefix, end, or null. Null and shorter values are out."""
+    latest states. why, the first that holds: state (another state of the page goes on behind it),
+    prefix (stops within a sentence, and a longer text begins with it), mark (stops with dots), limit
+    (stops within a sentence at a length at which its source cuts), end (stops within a sentence that
+    the next page doesn't take up), or null. Null and shorter values are out."""
     marks = []
     for f in ("ocr", "translation"):
         data = F.col(f"{f}.data")
@@ -81,6 +102,7 @@ def judged_values(pages: DataFrame) -> DataFrame:
                 F.col(f"{f}.source").alias("source"),
                 F.length(data).alias("length"),
                 F.when(ok, unfinished(data)).alias("open"),
+                F.when(ok, marked(data)).alias("marked"),
                 F.when(data != "", goes_on(data)).alias("goes_on"),
                 F.when(ok, F.xxhash64(F.lit(f), data)).alias("value"),
             ).alias(f)
@@ -88,10 +110,24 @@ def judged_values(pages: DataFrame) -> DataFrame:
     latest = pagetext.latest_pages(pages, *marks)
     ahead = pagetext.with_next(latest.withColumns({"g_ocr": F.col("ocr.goes_on"), "g_translation": F.col("translation.goes_on")}), {"next_ocr": "g_ocr", "next_translation": "g_translation"})
     each = F.explode(F.array(F.struct("ocr.*", F.col("next_ocr").alias("taken_up")), F.struct("translation.*", F.col("next_translation").alias("taken_up")))).alias("x")
-    values = ahead.select(F.col("id").alias("page_id"), each).select("page_id", "x.*").where(F.col("length") >= LEAST)
-    prefixes = strict_prefixes(page_fields(pages).select("field", "text"), ["field"]).select(F.xxhash64("field", "text").alias("value")).distinct()
-    seen = values.join(prefixes.withColumn("is_prefix", F.lit(True)), "value", "left")
-    why = F.when(F.col("is_prefix"), "prefix").when(F.col("open") & ~F.coalesce("taken_up", F.lit(False)), "end")
+    values = materialize(ahead.select(F.col("id").alias("page_id"), each).select("page_id", "x.*").where(F.col("length") >= LEAST), "values")
+    texts = page_fields(pages)
+    prefixes = strict_prefixes(texts.select("field", "text"), ["field"]).select(F.xxhash64("field", "text").alias("value")).distinct()
+    states = strict_prefixes(texts.select("id", "field", "text"), ["id", "field"]).select(F.col("id").alias("page_id"), F.xxhash64("field", "text").alias("value")).distinct()
+    fixed = limits(values).select(F.col("source").alias("s"), F.col("field").alias("f"), F.col("length").alias("l"), F.lit(True).alias("at_limit"))
+    seen = (
+        values.join(prefixes.withColumn("is_prefix", F.lit(True)), "value", "left")
+        .join(states.withColumn("has_state", F.lit(True)), ["page_id", "value"], "left")
+        .join(small(fixed, 10_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col("length") == F.col("l")), "left")
+    )
+    open_ = F.col("open")
+    why = (
+        F.when(F.col("has_state"), "state")
+        .when(open_ & F.col("is_prefix"), "prefix")
+        .when(open_ & F.col("marked"), "mark")
+        .when(open_ & F.col("at_limit"), "limit")
+        .when(open_ & ~F.coalesce("taken_up", F.lit(False)), "end")
+    )
     return seen.select("page_id", "field", "source", "length", why.isNotNull().alias("cut"), why.alias("why"))
 
 

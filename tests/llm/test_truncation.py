@@ -35,7 +35,7 @@ def test_ends(spark):
         ("foot", "c", 3.0, T0, own(7, FULL + " Deinde corpus per\nfol. 5r"), None),
         ("none", "c", 4.0, T0, False, False),
     ]
-    assert cut(spark, rows) == {("mid", "ocr"): "end", ("dots", "ocr"): "end", ("dots", "translation"): "end"}
+    assert cut(spark, rows) == {("mid", "ocr"): "end", ("dots", "ocr"): "mark", ("dots", "translation"): "end"}
 
 
 def test_latest_state_counts_and_copies_once(spark):
@@ -45,8 +45,34 @@ def test_latest_state_counts_and_copies_once(spark):
 
 
 def test_prefix_of_a_longer_copy(spark):
-    rows = [("a", "b", 1.0, T0, FULL, False), ("c", "d", 1.0, T0, FULL + " Dosis septem grana ne excedat.", False)]
-    assert cut(spark, rows) == {("a", "ocr"): "prefix"}
+    """Longer copies prove a cut within a sentence, or of the same page; not that a whole text with which
+    another one begins was cut. Precision and recall by reason, on planted values."""
+    rows, want = [], {}
+    for i in range(30):
+        whole, longer = own(i, FULL), own(i, FULL + " Dosis septem grana ne excedat.")
+        rows.append((f"whole{i}", "b", 10.0 * i, T0, whole, False))
+        rows.append((f"long{i}", "c", 10.0 * i, T0, longer, False))
+        rows.append((f"open{i}", "d", 2.0 * i, T0, longer[:-9], False))  # the next page goes on, but not with this text
+        rows.append((f"next{i}", "d", 2.0 * i + 1, T0, "minor est luna. " + own(100 + i, FULL), False))
+        rows.append((f"late{i}", "e", 10.0 * i, T0, own(200 + i, FULL + " Dosis septem grana ne excedat."), False))
+        rows.append((f"late{i}", "e", 10.0 * i, T1, own(200 + i, FULL), False))
+        want |= {(f"open{i}", "ocr"): "prefix", (f"late{i}", "ocr"): "state"}
+    assert cut(spark, rows) == want
+
+
+def test_marks_and_limits_hold_though_the_next_page_goes_on(spark):
+    fill = lambda i, n: own(i, FULL * 3)[: n - 1].replace("...", "   ") + "x"
+    rows = []
+    for i in range(40):  # a source that cuts at 200 characters, among texts of other lengths
+        rows.append((f"limit{i:02}", "b", 2.0 * i, T0, fill(i, 200), False))
+        rows.append((f"after{i:02}", "b", 2.0 * i + 1, T0, "minor est luna. " + own(100 + i, FULL), False))
+        rows.append((f"runs{i:02}", "c", 2.0 * i, T0, fill(300 + i, 180 + i), False))
+        rows.append((f"on{i:02}", "c", 2.0 * i + 1, T0, "minor est luna. " + own(400 + i, FULL), False))
+    rows += [("dots", "d", 1.0, T0, own(900, FULL + " Deinde..."), False), ("then", "d", 2.0, T0, "minor est luna. " + FULL, False)]
+    rows += [("roman", "f", 1.0, T0, own(901, FULL + " Deinde cor"), False), ("head", "f", 2.0, T0, "xii   LIBER III.\nMinor est luna. " + FULL, False)]
+    found = cut(spark, rows)
+    assert {k[0]: w for k, w in found.items() if w == "limit"} == {f"limit{i:02}": "limit" for i in range(40)} | {"runs20": "limit"}
+    assert {k[0]: w for k, w in found.items() if w != "limit"} == {"dots": "mark", "roman": "end"}
 
 
 def test_prefixes_against_brute_force(spark):
