@@ -26,10 +26,9 @@ def body(text: Column) -> Column:
     return F.rtrim(F.regexp_replace(text, pagetext.TRAILING, ""))
 
 
-def unfinished(text: Column) -> Column:
-    """Whether the running text stops within a sentence, or with the marks of a cut. A page number
-    or closing line at the end shows that the end is there."""
-    b = body(text)
+def unfinished(text: Column, b: Column) -> Column:
+    """Whether the running text stops within a sentence, or with the marks of a cut; b: its body. A page
+    number or closing line at the end shows that the end is there."""
     whole = b.rlike(r"[.!?][\"'»”’)\]]*(?:\s*</[\w-]+>)*(?:\s*\[\[[^\]]*\]\][.!?]?)?$") & ~b.rlike(r"(?:\.\.\.|…)$")
     return (F.length(b) > 0) & (F.length(b) == F.length(F.rtrim(F.regexp_replace(text, r"\s+$", "")))) & ~whole
 
@@ -92,7 +91,7 @@ def judged_values(pages: DataFrame) -> DataFrame:
     prefix (stops within a sentence, and a longer text begins with it), mark (stops with dots), limit
     (stops within a sentence at a length at which its source cuts), end (stops within a sentence that
     the next page doesn't take up), or null. Null and shorter values are out."""
-    marks = []
+    marks, bodies = [], {f"__{f}": body(F.col(f"{f}.data")) for f in ("ocr", "translation")}
     for f in ("ocr", "translation"):
         data = F.col(f"{f}.data")
         ok = F.length(data) >= LEAST
@@ -101,13 +100,13 @@ def judged_values(pages: DataFrame) -> DataFrame:
                 F.lit(f).alias("field"),
                 F.col(f"{f}.source").alias("source"),
                 F.length(data).alias("length"),
-                F.when(ok, unfinished(data)).alias("open"),
+                F.when(ok, unfinished(data, F.col(f"__{f}"))).alias("open"),
                 F.when(ok, marked(data)).alias("marked"),
                 F.when(data != "", goes_on(data)).alias("goes_on"),
                 F.when(ok, F.xxhash64(F.lit(f), data)).alias("value"),
             ).alias(f)
         )
-    latest = pagetext.latest_pages(pages, *marks)
+    latest = pagetext.latest_pages(pages.withColumns(bodies), *marks)
     ahead = pagetext.with_next(latest.withColumns({"g_ocr": F.col("ocr.goes_on"), "g_translation": F.col("translation.goes_on")}), {"next_ocr": "g_ocr", "next_translation": "g_translation"})
     each = F.explode(F.array(F.struct("ocr.*", F.col("next_ocr").alias("taken_up")), F.struct("translation.*", F.col("next_translation").alias("taken_up")))).alias("x")
     values = materialize(ahead.select(F.col("id").alias("page_id"), each).select("page_id", "x.*").where(F.col("length") >= LEAST), "values")
