@@ -106,7 +106,7 @@ MASSES = -(1 << 40)
 STEPS = 200
 #: Most word pairs held before they are summed, most cells of a page's word matrix at once, and most
 #: cells of a table of sums; where more are needed, sums are made by sorting.
-HELD, CELLS, TABLE = 3_000_000, 1_000_000, 8_000_000
+HELD, CELLS, TABLE = 3_000_000, 1_000_000, 12_000_000
 #: Words of a part (about 2,000 pages), and of the pages of a part that are worked on at once.
 PART_WORDS, CHUNK_WORDS = 500_000, 40_000
 
@@ -307,16 +307,19 @@ class PairSums:
         self.s, self.t = s, t
         self.table = np.zeros(len(s) * len(t), np.int64) if len(s) * len(t) <= TABLE else None
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        self.held, self.most = 0, HELD
 
     def add(self, s: np.ndarray, t: np.ndarray, sums: np.ndarray) -> Iterator[pd.DataFrame]:
         """s, t: numbers of words."""
         self.parts.append((s * len(self.t) + t, sums))
         self.held += len(s)
-        if self.held > HELD:
-            yield from self.flush()
+        if self.held > self.most:
+            self.gather()
+            if self.held > HELD:
+                yield from self.end()
 
-    def flush(self) -> Iterator[pd.DataFrame]:
+    def gather(self) -> None:
+        """Puts what is held together; afterwards HELD more are taken before it is done again."""
         if not self.parts:
             return
         keys, sums = (np.concatenate(x) for x in zip(*self.parts))
@@ -324,13 +327,19 @@ class PairSums:
         if self.table is not None:
             self.table += np.bincount(keys, sums, minlength=len(self.table)).astype(np.int64)
         else:
-            yield self.frame(*summed(keys, sums))
+            self.parts = [summed(keys, sums)]
+            self.held = len(self.parts[0][0])
+        self.most = self.held + HELD
 
     def end(self) -> Iterator[pd.DataFrame]:
-        yield from self.flush()
+        self.gather()
         if self.table is not None:
             keys = np.flatnonzero(self.table)
             yield self.frame(keys, self.table[keys])
+            self.table[:] = 0
+        elif self.parts:
+            yield self.frame(*self.parts[0])
+        self.parts, self.held, self.most = [], 0, HELD
 
     def frame(self, keys: np.ndarray, sums: np.ndarray) -> pd.DataFrame:
         s, t = np.divmod(keys, len(self.t)) if len(self.t) else (keys, keys)
