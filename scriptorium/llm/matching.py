@@ -3,10 +3,12 @@
 Each record's attributes are encoded as a fixed bit vector of hashed q-grams, in five blocks of 64
 bits: surname, year, place, first and second word of the title that tell something. Close pairs are
 found exactly by multi-index Hamming hashing: there is a table for each choice of two blocks, so
-every pair whose differing bits lie in at most three of the five blocks meets in at least one table;
-one slip stays within its block. Field-wise Dice scores become levels of agreement, whose
-weights are fitted without labels (expectation maximisation over the counts of level patterns), and
-their sum becomes a confidence.
+every pair within RADIUS differing bits, of which none lies in two of the blocks, meets in at least
+one table; one slip stays within its block. Their field-weighted Dice score is worked out where they
+meet. Binned Dice scores of the fields become a confidence without labels: their weights are fitted
+by expectation maximisation over the counts of bin patterns, and the weights' sum is calibrated, by
+isotonic regression, against an exact look at words and values. A pair is taken if its confidence
+reaches the least one and the exact look finds the same work, volume and edition.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,9 +28,14 @@ from scriptorium.session import materialize, small
 #: The blocks of a record's bit vector; all tables, each a pair of blocks that must agree.
 BLOCKS = ["surname", "year", "place", "word1", "word2"]
 TABLES = [(i, j) for j in range(len(BLOCKS)) for i in range(j)]
+#: Most differing bits of the blocks that both records have: seven or eight two-letter grams in each of
+#: three blocks, on either side, are about 45 bits.
+RADIUS = 45
 #: A table's key under which more pairs would meet is cut into slices of about so many.
-MOST_PAIRS = 250_000
-FIELD_BITS = 256
+MOST_PAIRS = 4_000_000
+TITLE_BITS = 256
+#: Weights of the fields in the similarity; a field that a record lacks doesn't count.
+WEIGHTS = {"title": 0.5, "author": 0.3, "place": 0.2, "year": 0.2}
 
 # Words for a part of a work, and ordinals, in the languages of the catalogues.
 PARTS = "pars tomus liber volumen teil theil band partie tome parte tomo part volume deel boek vol tom".split()
@@ -177,7 +185,7 @@ def encode(records: DataFrame, common_words: list[str]) -> DataFrame:
     common_words: words in so many titles that they tell nothing. Records with the same normal
     forms share `form`, a hash of them.
     """
-    schema = "key bigint, side int, words array<string>, cut boolean, volume int, surname string, year int, place string, place_short boolean, b_title array<bigint>, b_author array<bigint>, b_place array<bigint>, blocks array<bigint>, form bigint"
+    schema = "key bigint, side int, words array<string>, cut boolean, volume int, surname string, year int, place string, place_short boolean, title_bits array<bigint>, place_bits bigint, blocks array<bigint>, form bigint"
 
     long_common = [spelling(w) for w in common_words if len(w) >= 4]
     known: dict[str, bool] = {}
@@ -190,7 +198,7 @@ def encode(records: DataFrame, common_words: list[str]) -> DataFrame:
         return known[w]
 
     def words_of(longs: int) -> list[int]:
-        return [((longs >> (64 * i)) & (2**64 - 1)) - (2**64 if (longs >> (64 * i + 63)) & 1 else 0) for i in range(FIELD_BITS // 64)]
+        return [((longs >> (64 * i)) & (2**64 - 1)) - (2**64 if (longs >> (64 * i + 63)) & 1 else 0) for i in range(TITLE_BITS // 64)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -211,35 +219,47 @@ def encode(records: DataFrame, common_words: list[str]) -> DataFrame:
                 heads = [bigrams(w) for w in [*content, "", ""][:2]]
                 blocks = [block(names), block(digits), block(bigrams(p[:4])[:-1]), *map(block, heads)]
                 form = xxhash.xxh64_intdigest(repr((content, cut, volume, s, y, p, short))) - 2**63
-                rows.append((r.key, r.side, content, cut, volume, s, y, p, short, words_of(bits(grams, FIELD_BITS)), words_of(bits(names, FIELD_BITS)), words_of(bits(bigrams(p), FIELD_BITS)), blocks, form))
+                rows.append((r.key, r.side, content, cut, volume, s, y, p, short, words_of(bits(grams, TITLE_BITS)), block(bigrams(p)), blocks, form))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return records.select("key", "side", "title", "author", "year", "place").mapInPandas(run, schema)
 
 
-def dice(a: str, b: str) -> Column:
-    """Dice coefficient of two bit vectors; 0 if both are empty."""
-    count = lambda c: F.aggregate(F.transform(c, F.bit_count), F.lit(0), lambda s, x: s + x)
-    both = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-    return F.coalesce(F.try_divide(2 * both, count(F.col(a)) + count(F.col(b))), F.lit(0.0))
+def dice(a: list[Column], b: list[Column]) -> Column:
+    """Dice coefficient of two bit vectors, given by their 64-bit words; null if a word is null or both
+    are empty."""
+    count = lambda cs: reduce(lambda x, y: x + y, [F.bit_count(c) for c in cs])
+    return F.try_divide(2 * count([x.bitwiseAND(y) for x, y in zip(a, b)]), count(a) + count(b))
 
 
-def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All (form_a, form_b) whose vectors agree in at least two blocks; a missing block agrees with
-    none.
+def binned(c: Column, *bounds: float) -> Column:
+    """How many of the bounds a Dice score reaches; -1 for null."""
+    return F.when(c.isNull(), -1).otherwise(reduce(lambda x, y: x + y, [(c >= x).cast("int") for x in bounds]))
 
-    A pair comes from the table of its first two agreeing blocks only, so no distinct is needed.
+
+#: Bins of the fields' Dice scores.
+DICES = {"d_title": (0.3, 0.45, 0.6, 0.75, 0.9), "d_author": (0.3, 0.5, 0.7, 0.9), "d_year": (0.5, 0.75, 0.99), "d_place": (0.3, 0.5, 0.7, 0.9), "d_volume": (0.5,)}
+
+
+def close_pairs(left: DataFrame, right: DataFrame, least: float = 0.0, radius: int = 320) -> DataFrame:
+    """All pairs of records that are equal in at least two blocks (a missing block is equal to none),
+    within `radius` differing bits of the blocks they both have, and of a similarity of at least
+    `least`: (form_a, form_b, distance, similarity, d_...), d_... being binned Dice scores of the fields.
+
+    left, right: (form, blocks, title_bits, place_bits, volume). A pair comes from the table of its first
+    two equal blocks only, so no distinct is needed; all conditions are bit counts in the join itself.
     Under a key where more than MOST_PAIRS pairs would meet (a frequent author in a frequent town) the
     two sides are cut into slices, and each slice of the one meets each of the other, about MOST_PAIRS
     pairs at once, so no task holds the pairs of a frequent key and none is left out.
     """
+    n_blocks, n_title = len(BLOCKS), TITLE_BITS // 64
+
     def postings(df: DataFrame, x: str) -> DataFrame:
         keys = [F.struct(F.lit(t).alias("tab"), F.xxhash64(F.lit(t), F.col("blocks")[i], F.col("blocks")[j]).alias("key"), (F.col("blocks")[i].isNotNull() & F.col("blocks")[j].isNotNull()).alias("ok")) for t, (i, j) in enumerate(TABLES)]
-        return df.select(F.col("form").alias(f"form_{x}"), F.col("blocks").alias(f"blocks_{x}"), F.explode(F.filter(F.array(*keys), lambda k: k["ok"])).alias("k")).select(f"form_{x}", f"blocks_{x}", "k.tab", "k.key")
+        vector = [F.col("blocks")[i].alias(f"{x}{i}") for i in range(n_blocks)] + [F.get("title_bits", F.lit(i)).alias(f"{x}t{i}") for i in range(n_title)]
+        return df.select(F.col("form").alias(f"form_{x}"), *vector, F.col("place_bits").alias(f"{x}p"), F.col("volume").alias(f"{x}v"), F.explode(F.filter(F.array(*keys), lambda k: k["ok"])).alias("k")).select("*", "k.tab", "k.key").drop("k")
 
     a, b = postings(left, "a"), postings(right, "b")
-    agree = F.filter(F.transform(F.zip_with("blocks_a", "blocks_b", lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e, i: F.when(e, i)), lambda i: i.isNotNull())
-    used = F.element_at(F.array(*[F.array(F.lit(i), F.lit(j)) for i, j in TABLES]), F.col("tab") + 1)
     counts = a.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_a")).join(b.groupBy("tab", "key").agg(F.count(F.lit(1)).alias("n_b")), ["tab", "key"])
     meet = F.col("n_a") * F.col("n_b")
     parts = lambda n: F.ceil(F.col(n) / math.isqrt(MOST_PAIRS)).cast("int")
@@ -252,8 +272,19 @@ def close_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
         others = F.sequence(F.lit(0), F.coalesce(f"parts_{y}", F.lit(1)) - 1)
         return cut.withColumn(f"slice_{x}", own).withColumn(f"slice_{y}", F.explode(others)).drop("parts_a", "parts_b")
 
-    pairs = sliced(a, "a", "b").join(sliced(b, "b", "a"), ["tab", "key", "slice_a", "slice_b"])
-    return pairs.where(F.slice(agree, 1, 2) == used).select("form_a", "form_b")
+    equal = [F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False)) for i in range(n_blocks)]
+    first = F.lit(False)
+    for t, (i, j) in enumerate(TABLES):
+        earlier = [~equal[k] for k in range(j) if k != i]
+        first = F.when(F.col("tab") == t, reduce(lambda x, y: x & y, [equal[i], equal[j], *earlier])).otherwise(first)
+    distance = reduce(lambda x, y: x + y, [F.coalesce(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))), F.lit(0)) for i in range(n_blocks)])
+    of = lambda *names: dice([F.col(f"a{n}") for n in names], [F.col(f"b{n}") for n in names])
+    scores = {"title": of(*[f"t{i}" for i in range(n_title)]), "author": of("0"), "year": of("1"), "place": of("p")}
+    weight = reduce(lambda x, y: x + y, [F.when(scores[f].isNotNull(), w).otherwise(0.0) for f, w in WEIGHTS.items()])
+    similarity = F.coalesce(F.try_divide(reduce(lambda x, y: x + y, [F.coalesce(w * scores[f], F.lit(0.0)) for f, w in WEIGHTS.items()]), weight), F.lit(0.0))
+    met = sliced(a, "a", "b").join(sliced(b, "b", "a"), ["tab", "key", "slice_a", "slice_b"]).where(first & (distance <= radius) & (similarity >= least))
+    bins = {f"d_{f}": binned(c, *DICES[f"d_{f}"]) for f, c in scores.items()} | {"d_volume": (F.col("av") == F.col("bv")).cast("int")}
+    return met.select("form_a", "form_b", distance.alias("distance"), F.round(similarity, 4).alias("similarity"), *[c.alias(f) for f, c in bins.items()])
 
 
 def agreement(pairs: DataFrame, common_words: list[str]) -> DataFrame:
@@ -269,7 +300,7 @@ def agreement(pairs: DataFrame, common_words: list[str]) -> DataFrame:
             slips[w] = not any(near(w, c, 1) for c in short_common)
         return slips[w]
 
-    schema = "form_a bigint, form_b bigint, l_title int, l_author int, l_year int, l_place int, l_volume int"
+    schema = "form_a bigint, form_b bigint, similarity double, pattern int, l_title int, l_author int, l_year int, l_place int, l_volume int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -307,7 +338,7 @@ def agreement(pairs: DataFrame, common_words: list[str]) -> DataFrame:
                 else:
                     place = 0
                 volume = 1 if r.volume_a == r.volume_b or (not r.volume_a and r.cut_a) or (not r.volume_b and r.cut_b) else 0
-                rows.append((r.form_a, r.form_b, title, author, year, place, volume))
+                rows.append((r.form_a, r.form_b, r.similarity, r.pattern, title, author, year, place, volume))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return pairs.mapInPandas(run, schema)
@@ -329,57 +360,91 @@ def same_printing() -> Column:
     return F.when(work & edition, 2).when(work & vague, 1).otherwise(0)
 
 
-def confidences(patterns: list[tuple], rounds: int = 40) -> dict[tuple, float]:
-    """Match probability of each level pattern, by EM over the counts of patterns.
-
-    patterns: (levels..., plausible, n). At most some hundred patterns exist, whatever the data.
-    Starts from `plausible`, the exact look's verdict.
-    """
-    fields = len(LEVELS)
-    weight = {p[:fields]: p[-1] for p in patterns}
-    belief = {p[:fields]: 0.95 if p[fields] == 2 else 0.5 if p[fields] == 1 else 0.03 for p in patterns}
-    seen = [sorted({k[i] for k in weight}) for i in range(fields)]
+def weights_of(patterns: list[tuple], rounds: int = 40) -> dict[tuple, float]:
+    """The log-odds of each pattern of binned Dice scores, by EM over the counts of patterns without
+    labels. patterns: (bins..., similarity, n), similarity being the mean of its pairs, from which the
+    beliefs start. The bins bound the number of patterns, whatever the data."""
+    fields = len(DICES)
+    count = {p[:fields]: p[-1] for p in patterns}
+    belief = {p[:fields]: min(0.98, max(0.02, 2 * p[fields] - 0.9)) for p in patterns}
+    odds = {k: math.log(b / (1 - b)) for k, b in belief.items()}
+    seen = [sorted({k[i] for k in count}) for i in range(fields)]
     for _ in range(rounds):
-        match = sum(weight[k] * belief[k] for k in weight)
-        other = sum(weight[k] * (1 - belief[k]) for k in weight)
-        if not match or not other:
+        match = sum(count[k] * belief[k] for k in count)
+        other = sum(count[k] * (1 - belief[k]) for k in count)
+        if match < 1 or other < 1:
             break
-        m = [{v: (0.5 + sum(weight[k] * belief[k] for k in weight if k[i] == v)) / (match + 0.5 * len(seen[i])) for v in seen[i]} for i in range(fields)]
-        u = [{v: (0.5 + sum(weight[k] * (1 - belief[k]) for k in weight if k[i] == v)) / (other + 0.5 * len(seen[i])) for v in seen[i]} for i in range(fields)]
+        m = [{v: (0.5 + sum(count[k] * belief[k] for k in count if k[i] == v)) / (match + 0.5 * len(seen[i])) for v in seen[i]} for i in range(fields)]
+        u = [{v: (0.5 + sum(count[k] * (1 - belief[k]) for k in count if k[i] == v)) / (other + 0.5 * len(seen[i])) for v in seen[i]} for i in range(fields)]
         prior = math.log(match / other)
-        belief = {k: 1 / (1 + math.exp(-max(-30, min(30, prior + sum(math.log(m[i][k[i]] / u[i][k[i]]) for i in range(fields)))))) for k in weight}
-    return belief
-
-
-def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, weights: tuple[float, float, float] = (0.5, 0.3, 0.2)) -> DataFrame:
+        odds = {k: prior + sum(math.log(m[i][k[i]] / u[i][k[i]]) for i in range(fields)) for k in count}
+        belief = {k: 1 / (1 + math.exp(-max(-30, min(30, x)))) for k, x in odds.items()}
+    return odds
+
+
+def calibrated(points: list[tuple[float, int, int]]) -> list[float]:
+    """Isotonic regression of shares on scores (pool adjacent violators). points: (score, n, hits); equal
+    scores share a value; one hit and one miss of half a pair each are added to every pool, so that
+    nothing is certain. Returns a confidence for each point, not falling with the score."""
+    pools: list[list] = []  # [n, hits, places]
+    merged: dict[float, list] = {}
+    for i, (score, n, hits) in enumerate(points):
+        pool = merged.setdefault(score, [0, 0, []])
+        pool[0] += n
+        pool[1] += hits
+        pool[2].append(i)
+    share = lambda p: (p[1] + 0.5) / (p[0] + 1)
+    for score in sorted(merged):
+        pools.append(merged[score])
+        while len(pools) > 1 and share(pools[-2]) >= share(pools[-1]):
+            n, hits, places = pools.pop()
+            pools[-1] = [pools[-1][0] + n, pools[-1][1] + hits, pools[-1][2] + places]
+    out = [0.0] * len(points)
+    for p in pools:
+        for i in p[2]:
+            out[i] = share(p)
+    return out
+
+
+def common_words(records: DataFrame, total: int, share: float) -> list[str]:
+    """Words that occur in over `share` of all titles, by more than two standard deviations of their
+    count, so that chance makes none common in a small table. Titles are of bounded length, so these are
+    few dozen words."""
+    n = F.col("n")
+    return [r["word"] for r in title_words(records).where(n - 2 * F.sqrt(n) > share * total).collect()]
+
+
+def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, least_similarity: float = 0.45, least_confidence: float = 0.01) -> DataFrame:
     """Pairs of records of two tables that are the same printing.
 
     left, right: (key, title, author, year, place), all but key text that may be null or empty.
-    Result: key_a, key_b, confidence, similarity (field-weighted Dice of title, author and place),
-    and the levels of agreement. Records with equal normal forms are compared once and expanded at
-    the end. A record without a title finds no partner.
+    Result: key_a, key_b, similarity (field-weighted Dice), confidence (calibrated share of pairs of
+    such Dice scores that the exact look accepts), and the levels of agreement that the exact look
+    found. Pairs of a lower similarity or confidence aren't taken. Records with equal normal forms are
+    compared once and expanded at the end. A record without a title finds no partner.
     """
     spark = left.sparkSession
     needed = ["key", "title", "author", "year", "place"]
     both = left.select(*needed, F.lit(0).alias("side")).unionByName(right.select(*needed, F.lit(1).alias("side")))
-    total = both.count()
-    # a word above the share occurs in at least that share of titles of bounded length: few dozen words
-    common = [r["word"] for r in title_words(both).where(F.col("n") > common_share * total).collect()] if total >= 500 else []
+    common = common_words(both, both.count(), common_share)
     coded = materialize(encode(both.where("title is not null and trim(title) <> ''"), common), "codes")
     forms = coded.dropDuplicates(["side", "form"]).drop("key")
     a, b = forms.where("side = 0"), forms.where("side = 1")
-    found = close_pairs(a, b)
-    fields = ["words", "cut", "volume", "surname", "year", "place", "place_short", "b_title", "b_author", "b_place"]
+    bins = list(DICES)
+    near_ = materialize(close_pairs(a, b, least_similarity, RADIUS), "close")
+    patterns = sorted(tuple(r) for r in near_.groupBy(*bins).agg(F.avg("similarity"), F.count(F.lit(1))).collect())  # the bins bound their number
+    odds = weights_of(patterns)
+    numbered = {p[: len(bins)]: i for i, p in enumerate(patterns)}
+    listed = spark.createDataFrame([(*k, i) for k, i in numbered.items()] or [(*[0] * len(bins), 0)], ", ".join(f"{x} int" for x in bins) + ", pattern int")
+    found = near_.join(F.broadcast(listed), bins).select("form_a", "form_b", "similarity", "pattern")
+    fields = ["words", "cut", "volume", "surname", "year", "place", "place_short"]
     side = lambda df, x: df.select(F.col("form").alias(f"form_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in fields])
     full = found.join(side(a, "a"), "form_a").join(side(b, "b"), "form_b")
-    w = weights
-    scored = full.withColumn("similarity", w[0] * dice("b_title_a", "b_title_b") + w[1] * dice("b_author_a", "b_author_b") + w[2] * dice("b_place_a", "b_place_b"))
-    levels = agreement(scored.where(F.col("similarity") >= 0.2).drop("similarity", *[f"b_{f}_{x}" for f in ("title", "author", "place") for x in "ab"]), common)
-    levels = materialize(levels.where("l_title > 0").withColumn("plausible", same_printing()), "levels")
-    patterns = [tuple(r) for r in levels.groupBy(*LEVELS, "plausible").count().collect()]  # some hundred at most
-    belief = confidences(patterns)
-    sure = spark.createDataFrame([(*k, float(v)) for k, v in belief.items()] or [(0, 0, 0, 0, 0, 0.0)], ", ".join(f"{x} int" for x in LEVELS) + ", confidence double")
-    judged = levels.where("plausible > 0").join(F.broadcast(sure), LEVELS)
+    levels = materialize(agreement(full, common).withColumn("plausible", F.when(F.col("l_title") > 0, same_printing()).otherwise(0)), "levels")
+    verdicts = {r["pattern"]: (r["n"], r["hits"]) for r in levels.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("plausible") > 0).alias("hits")).collect()}
+    belief = calibrated([(odds[k], *verdicts.get(i, (0, 0))) for k, i in numbered.items()])
+    sure = spark.createDataFrame(list(enumerate(belief)) or [(0, 0.0)], "pattern int, confidence double")
+    judged = levels.where("plausible > 0").join(F.broadcast(sure), "pattern").where(F.col("confidence") >= least_confidence).drop("pattern")
     # a record without year and place stands for one printing only if its partners are of one year
     years_a = b.select(F.col("form").alias("form_b"), F.col("year").alias("year_b"))
     years_b = a.select(F.col("form").alias("form_a"), F.col("year").alias("year_a"))
@@ -388,4 +453,4 @@ def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018
     vague = judged.where("plausible = 1").join(spread("form_a", "year_b"), "form_a").join(spread("form_b", "year_a"), "form_b").where("n_year_b <= 1 and n_year_a <= 1").drop("n_year_a", "n_year_b")
     kept = judged.where("plausible = 2").unionByName(vague)
     keys = lambda s, x: coded.where(F.col("side") == s).select(F.col("key").alias(f"key_{x}"), F.col("form").alias(f"form_{x}"))
-    return kept.join(keys(0, "a"), "form_a").join(keys(1, "b"), "form_b").select("key_a", "key_b", F.round("confidence", 4).alias("confidence"), *LEVELS).distinct()
+    return kept.join(keys(0, "a"), "form_a").join(keys(1, "b"), "form_b").select("key_a", "key_b", "similarity", F.round("confidence", 4).alias("confidence"), *LEVELS).distinct()

@@ -1,6 +1,7 @@
 """Problem 1."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -46,36 +47,94 @@ def test_empty_tables(spark):
     assert pairs(spark, [], row) == pairs(spark, row, []) == pairs(spark, [], []) == []
 
 
+VECTORS = "form bigint, blocks array<bigint>, title_bits array<bigint>, place_bits bigint, volume int"
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame([(i, r, [7, 0, 0, i], 5, 0) for i, r in enumerate(rows)], VECTORS)
+
+
 def test_block_pairs_are_all_found(spark, monkeypatch):
-    """The multi-index finds exactly the pairs that agree in two blocks, with and without hot keys."""
+    """The multi-index finds exactly the pairs that agree in two blocks and are near enough, with and
+    without hot keys."""
     rng = random.Random(1)
-    rows = [[rng.choice([None, 1, 2, 3]) for _ in range(5)] for _ in range(60)]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "form bigint, blocks array<bigint>")
+    rows = [[rng.choice([None, 1, 2, 3, 255]) for _ in range(5)] for _ in range(60)]
+    df = vectors(spark, rows)
     agree = lambda x, y: sum(p is not None and p == q for p, q in zip(x, y))
-    want = {(i, j) for i in range(60) for j in range(60) if agree(rows[i], rows[j]) >= 2}
-    got = [tuple(r) for r in matching.close_pairs(df, df).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    monkeypatch.setattr(matching, "MOST_PAIRS", 60)
-    hot = [tuple(r) for r in matching.close_pairs(df, df).collect()]
-    assert len(hot) == len(set(hot)) and set(hot) <= want and {(i, j) for i, j in want if agree(rows[i], rows[j]) == 5} <= set(hot)
+    far = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y) if p is not None and q is not None)
+    for most in (matching.MOST_PAIRS, 60):
+        monkeypatch.setattr(matching, "MOST_PAIRS", most)
+        for radius in (320, 6):
+            got = [(r.form_a, r.form_b, r.distance) for r in matching.close_pairs(df, df, radius=radius).collect()]
+            want = {(i, j, far(rows[i], rows[j])) for i in range(60) for j in range(60) if agree(rows[i], rows[j]) >= 2 and far(rows[i], rows[j]) <= radius}
+            assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_hot_keys_lose_no_pair(spark, monkeypatch):
     """Also pairs that agree in no third block are found under hot keys, each once."""
     rows = [[1, 2, 10 + i % 9, None if i % 4 == 0 else 30 + i, 100 + i] for i in range(50)]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "form bigint, blocks array<bigint>")
     monkeypatch.setattr(matching, "MOST_PAIRS", 60)
-    got = [tuple(r) for r in matching.close_pairs(df, df).collect()]
+    df = vectors(spark, rows)
+    got = [(r.form_a, r.form_b) for r in matching.close_pairs(df, df).collect()]
     assert len(got) == 2500 and set(got) == {(i, j) for i in range(50) for j in range(50)}
 
 
-def test_confidences_separate():
-    patterns = [(2, 3, 3, 3, 1, 2, 90), (2, 3, 0, 0, 1, 0, 80), (1, 0, 0, 1, 1, 0, 300), (1, 1, 3, 3, 1, 2, 10)]
-    c = matching.confidences(patterns)
-    assert c[2, 3, 3, 3, 1] > 0.95 > 0.1 > c[1, 0, 0, 1, 1] and matching.confidences([]) == {}
-
-
-def test_dice(spark):
-    df = spark.createDataFrame([([3], [1]), ([0], [0])], "a array<bigint>, b array<bigint>")
-    assert [round(r[0], 3) for r in df.select(matching.dice("a", "b")).collect()] == [0.667, 0.0]
-    assert df.where(F.col("a").isNull()).count() == 0
+def test_similarity_is_the_weighted_dice_of_the_fields_that_both_have(spark):
+    a = [(1, [3, None, 1, 1, 1], [3, 0, 0, 0], 1, 0)]
+    b = [(2, [1, 5, 1, 1, 1], [1, 0, 0, 0], 3, 2)]
+    (r,) = matching.close_pairs(spark.createDataFrame(a, VECTORS), spark.createDataFrame(b, VECTORS)).collect()
+    assert r.similarity == 0.6667 and r.distance == 1 and (r.d_title, r.d_author, r.d_year, r.d_place, r.d_volume) == (3, 2, -1, 2, 0)
+
+
+def test_weights_and_calibration():
+    patterns = [(5, 4, 3, 4, 1, 0.97, 90), (5, 4, 0, 0, 1, 0.7, 80), (1, 0, 0, 1, 1, 0.3, 300), (3, -1, 3, 4, 1, 0.8, 10)]
+    odds = matching.weights_of(patterns)
+    assert odds[5, 4, 3, 4, 1] > odds[3, -1, 3, 4, 1] > odds[1, 0, 0, 1, 1] and matching.weights_of([]) == {}
+    points = [(0.1, 100, 1), (0.5, 10, 6), (0.6, 10, 4), (2.0, 100, 99), (0.1, 100, 3), (3.0, 0, 0)]
+    c = matching.calibrated(points)
+    assert c[0] == c[4] < c[1] == c[2] == 10.5 / 21 < c[3] and matching.calibrated([]) == []
+    assert c[5] >= c[3] or points[5][1] == 0
+
+
+def catalogues(n, seed):
+    """Two made-up catalogues whose true pairs are known: slips, missing fields, reprints and volumes."""
+    rng = random.Random(seed)
+    name = lambda k: "".join(rng.choice("bcdfglmnprstv") + rng.choice("aeiou") for _ in range(k)).capitalize()
+    nouns, towns = [name(4) for _ in range(400)], [name(3) for _ in range(20)]
+
+    def slip(t):
+        if not t or rng.random() < 0.6:
+            return t
+        at = rng.choice([m.start() + 1 for m in re.finditer(r"\w{5}", t)])
+        return t[:at] + rng.choice("aeiou") + t[at + 1 :]
+
+    a, b, truth = [], [], set()
+    for i in range(n):
+        title = f"De {rng.choice(nouns)} et {rng.choice(nouns)} contra {rng.choice(nouns)}"
+        author, year, town = name(4), rng.randrange(1500, 1800), rng.choice(towns)
+        a.append((i, title, author, str(year), town))
+        if rng.random() < 0.7:
+            b.append((10**6 + 3 * i, slip(title), slip(author) if rng.random() < 0.9 else None, str(year) if rng.random() < 0.9 else None, slip(town)))
+            truth.add((i, 10**6 + 3 * i))
+        if rng.random() < 0.3:
+            b.append((10**6 + 3 * i + 1, title, author, str(year + rng.randrange(5, 60)), rng.choice([t for t in towns if t != town])))
+    return a, b, truth
+
+
+def test_confidence_is_calibrated_on_planted_cases(spark):
+    a, b, truth = catalogues(600, 5)
+    rows = matching.match_records(frame(spark, a), frame(spark, b)).collect()
+    got = {(r.key_a, r.key_b) for r in rows}
+    assert len(got & truth) / len(truth) > 0.95 and len(got & truth) / len(got) > 0.95
+    assert all(0.01 <= r.confidence <= 1 and r.similarity >= 0.45 for r in rows) and len({r.confidence for r in rows}) > 2
+    # the share of true pairs doesn't fall from the less to the more confident half
+    rows.sort(key=lambda r: r.confidence)
+    half = len(rows) // 2
+    share = lambda part: sum((r.key_a, r.key_b) in truth for r in part) / len(part)
+    assert share(rows[half:]) >= share(rows[:half]) - 0.01
+
+
+def test_small_tables_follow_the_same_rules(spark):
+    """Words are common by their share alone; chance makes none common in a small table."""
+    df = frame(spark, [(i, f"Liber de {w}", "A B", "1500", "C") for i, w in enumerate(["sole", "luna", "mari", "sole", "igne", "aqua", "rege", "flore", "monte", "libro"])])
+    assert sorted(matching.common_words(df, 10, 0.018)) == ["de", "liber"] and matching.common_words(df.limit(0), 0, 0.018) == []
