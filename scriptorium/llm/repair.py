@@ -2,19 +2,22 @@
 
 Lines are told apart by their form and by what repeats through the book: running headers, printed
 numbers, lines whose last word is broken. Misread words are found by a symmetric-delete index over
-the corpus frequency lexicon: a rare form and a far more frequent one that share a deletion are held
-against each other by a weighted edit distance in which the usual confusions of printed letters are
-cheap. Where several repairs are possible, the neighbouring words decide by their bigram counts.
+the corpus frequency lexicon: forms that are alike but for one piece of up to two letters meet, and a
+rare form is held against a far more frequent one by a weighted edit distance. What it costs to read
+one piece for another is learned from the corpus: the more of the frequent words with that piece are
+seen misread so, the cheaper; the usual confusions of print are only where it starts from. Where
+several repairs are possible, the neighbouring words decide by their bigram counts.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -22,9 +25,22 @@ from scriptorium.llm import pagetext
 from scriptorium.llm.matching import fold, near, surname
 from scriptorium.session import materialize, small
 
-# Letters of print and what they are misread as, "right wrong", with their cost.
-CONFUSIONS = "e c, c e, i l, l i, t r, a o, o a, n u, u n, s f, f s, g q, h b, v y, m rn, rn m, d cl, cl d, in m, ni m, li h, ri n, l 1, i 1, o 0, ti d, ü ii, é 6, ó 6, ß b"
+# Letters of print and what they are usually misread as, "right wrong".
 USUAL = "e c, c e, i l, t r, a o, n u, u n, s f, g q, h b, v y, m rn, d cl, in m, l 1, i 1, o 0, ti d, ü ii, é 6, ó 6, ß b"
+#: Of the frequent words with a piece of text, the share that is taken to be seen misread in a usual and in
+#: any other way, as if so many words had been looked at before the corpus; words seen SHOWS times show all
+#: their misreadings, rarer ones so much less.
+USUAL_SHARE, OTHER_SHARE, BEFORE, SHOWS = 0.5, 0.002, 20, 1000
+#: A word is misread in one way at most this often; forms that are more frequent are words of their own.
+MOST_MISREAD = 1 / 80
+#: Words of two or three letters, which other words are near by chance, even less.
+MOST_MISREAD_SHORT = 1 / 200
+#: Least occurrences of a word from whose misreadings is learned.
+TEACHES = 100
+#: Most cost of a repair for each letter of the word, and for a short word.
+COST_A_LETTER, COST_SHORT = 0.25, 0.75
+#: Words of so many letters and more are found by their first or last letters.
+LONG = 60
 # Words that follow a hyphen which joins two compounds ("Gold- und Silber").
 JOINERS = {"und", "oder", "en", "of", "and", "or", "et", "ou", "e", "o", "y", "u"}
 # Words that open a chapter heading.
@@ -36,7 +52,7 @@ NUMBER = re.compile(rf"[ \t]*{pagetext.NUMBER}[ \t]*")
 FURNITURE = re.compile(rf"[ \t]*{pagetext.FURNITURE}[ \t]*")
 HEADING = re.compile(r"[ \t]*(?:(?:fol\. ?\w+|p\. ?\w+|['’.,]?[A-ZÀ-Þ0-9][^\s]*|\[\w+\]|- ?\w+ ?-|&)(?:[ \t]+|$)){1,9}")
 IN_HEADER = re.compile(r"^[ \t]*(?:\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?)[ \t]{2,}|[ \t]{2,}(?:\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?)[ \t]*$")
-MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]{0,120}</\1>|<[^>\n]*>|\[\[[^\]\n]*(?:\]\]|\n[^\]\n]*\]\]|$)")
+MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]*</\1>|<[^>\n]*>|\[\[[^\]\n]*(?:\]\]|\n[^\]\n]*\]\]|$)")
 BROKEN = re.compile(rf"(\w)[{pagetext.HYPHENS}] *\n+(?=[a-zß-ÿ])(?!(?:{'|'.join(sorted(JOINERS))})\b)")
 HYPHEN_END = re.compile(rf"([^\W\d_]+)[{pagetext.HYPHENS}][ \t]*$")
 
@@ -93,24 +109,27 @@ class Page:
             return ""
         return ""
 
-    def hyphens(self, good: set[str] = frozenset()) -> tuple[list[int], int]:
+    def hyphens(self) -> tuple[list[int], int, list[tuple[int, str]]]:
         """Lines whose last word goes on in the next line; the last line if it ends with a hyphen and
-        only the next page can tell (else -1). A hyphen before a joining word breaks a word only if
-        both make a known word."""
-        out = []
+        only the next page can tell (else -1); and lines with a hyphen before a joining word, each with the
+        word that both would make: it breaks a word only if that word is known."""
+        out, maybe = [], []
         for at, i in enumerate(self.running):
             line = self.lines[i].rstrip()
             end = HYPHEN_END.search(line) if line and line[-1] in pagetext.HYPHENS else None
             if not end:
                 continue
             if at + 1 == len(self.running):
-                return out, i
+                return out, i, maybe
             follow = re.match(r"\s*([^\W\d_]+)", self.lines[self.running[at + 1]])
-            if follow and follow[1][0].islower() and (follow[1] not in JOINERS or (end[1] + follow[1]).lower() in good):
-                out.append(i)
-        return out, -1
+            if follow and follow[1][0].islower():
+                if follow[1] in JOINERS:
+                    maybe.append((i, (end[1] + follow[1]).lower()))
+                else:
+                    out.append(i)
+        return out, -1, maybe
 
-    def words(self, good: set[str] = frozenset()) -> list[tuple[int, int, str]]:
+    def words(self) -> list[tuple[int, int, str]]:
         """(line, rest, word) of the running text, lower case; a broken word stands whole on its first
         line and rest counts its letters there (0 for other words). Markup is out, and so is the
         page's first word if it may be the rest of a word, and the last if the text breaks off."""
@@ -119,7 +138,7 @@ class Page:
             joined = MARKUP.sub(lambda m: "\n" * m[0].count("\n") + " ", "\n".join(self.lines))
             parts = joined.split("\n")
             clean = {i: parts[i] for i in self.running} if len(parts) == len(self.lines) else {i: MARKUP.sub(" ", s) for i, s in clean.items()}
-        broken, pending = self.hyphens(good)
+        broken, pending, _ = self.hyphens()
         out: list[tuple[int, int, str]] = []
         carry: tuple[int, str] | None = None
         for i in self.running:
@@ -164,67 +183,125 @@ def pairs_of(text: str) -> list[tuple[str, str]]:
     return [tuple(x.split()) for x in text.split(", ")]
 
 
-def misreadings(right: str, wrong: str, pairs: list[tuple[str, str]]) -> str:
-    """'right>wrong' if one confusion turns the one word into the other, else ''."""
-    for a, b in pairs:
-        at = right.find(a)
-        while at >= 0:
-            if right[:at] + b + right[at + len(a) :] == wrong:
-                return f"{a}>{b}"
-            at = right.find(a, at + 1)
-    return ""
-
-
-def keys_of(word: str, pairs: list[tuple[str, str]], rare: bool) -> set[str]:
-    """Index keys: all deletions of one letter; for a rare form also what it may stand for where a
-    confusion changes the number of letters."""
-    keys = {word[:i] + word[i + 1 :] for i in range(len(word))}
-    if rare:
-        for a, b in pairs:
-            if len(a) != len(b):
-                at = word.find(b)
+def piece(right: str, wrong: str) -> str:
+    """"x>y" if reading y for the one piece x turns the one word into the other; else ''. The pieces are as
+    short as can be; one of them may be empty."""
+    i, most = 0, min(len(right), len(wrong))
+    while i < most and right[i] == wrong[i]:
+        i += 1
+    j = 0
+    while j < most - i and right[-1 - j] == wrong[-1 - j]:
+        j += 1
+    x, y = right[i : len(right) - j], wrong[i : len(wrong) - j]
+    return f"{x}>{y}" if len(x) <= 2 and len(y) <= 2 and x != y else ""
+
+
+def index_keys(word: Column) -> Column:
+    """The symmetric-delete keys of a word: the word without each piece of up to two letters, by what is
+    before and behind it. Words that are alike but for one such piece share a key. Long words have keys of
+    their first and last letters instead, of which such a pair shares one at least."""
+    n = F.length(word)
+    every = F.flatten(F.transform(F.array(*[F.lit(k) for k in (0, 1, 2)]), lambda k: F.transform(
+        F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(F.substring(word, F.lit(1), i), F.lit("/"), F.substring(word, i + k + 1, n)))))
+    half = LONG // 2
+    ends = F.array(F.xxhash64(F.lit("first"), F.substring(word, 1, half)), F.xxhash64(F.lit("last"), F.right(word, F.lit(half))))
+    return F.array_distinct(F.when(n < LONG - 2, every).when(n > LONG + 2, ends).otherwise(F.concat(every, ends)))
+
+
+def explains(n: Column, n_fix: Column, rate: Column | float) -> Column:
+    """Whether a word seen n_fix times may be misread n times in one way if that happens at a rate of at
+    most `rate`, as far as such counts can tell: the rate itself for large counts, and a chance of one in
+    twenty or so for small ones. So a misreading isn't lost as the corpus grows."""
+    return n_fix * rate >= F.greatest(n * 0.1, n - 1.645 * F.sqrt(n))
+
+
+def close_forms(words: DataFrame) -> DataFrame:
+    """(word, fix, n, n_fix, piece): all forms that differ from a more frequent one in one piece, of which
+    they may be a misreading by their counts. Both sides of the index are spread by key; a key is a word
+    less a piece, so few forms share one, however large the corpus. Forms of one letter are left out."""
+    known = words.where(F.length("word") >= 2)
+    rate = F.when(F.length("word") <= 3, MOST_MISREAD_SHORT).otherwise(MOST_MISREAD)
+    right = known.where(F.col("n") * MOST_MISREAD >= 0.1).select(F.explode(index_keys(F.col("word"))).alias("key"), F.col("word").alias("fix"), F.col("n").alias("n_fix"))
+    wrong = known.select(F.explode(index_keys(F.col("word"))).alias("key"), "word", "n")
+    met = wrong.join(right, "key").where((F.col("word") != F.col("fix")) & explains(F.col("n"), F.col("n_fix"), rate)).select("word", "fix", "n", "n_fix").distinct()
+
+    @F.pandas_udf("string")
+    def pieces(word: pd.Series, fix: pd.Series) -> pd.Series:
+        return pd.Series([piece(f, w) for w, f in zip(word, fix)])
+
+    return met.withColumn("piece", pieces("word", "fix")).where("piece <> ''")
+
+
+def confusion_costs(words: DataFrame, close: DataFrame, usual: str = USUAL) -> list[tuple[str, float]]:
+    """("x>y", cost) of the pieces that are misread in many words: the negative logarithm of the share of
+    frequent words with x that are seen with y in its place. The usual confusions and others start from
+    different shares, which the corpus outweighs as more words are seen. Costs so high that no word could
+    bear them are left out, which leaves few: each takes a twentieth of the frequent words with its piece."""
+    seen = close.where(F.col("n_fix") >= TEACHES).groupBy("piece").agg(F.count_distinct("fix").alias("k"))
+    frequent = words.where(F.col("n") >= TEACHES)
+    shows = F.least(F.lit(1.0), F.col("n") / SHOWS)
+    n = F.length("word")
+    inside = F.flatten(F.transform(F.array(F.lit(1), F.lit(2)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, k))))
+    shown = frequent.select(F.explode(F.array_distinct(F.concat(F.array(F.lit("")), inside))).alias("x"), shows.alias("s")).groupBy("x").agg(F.sum("s").alias("shown"))
+    listed = {f"{a}>{b}" for a, b in pairs_of(usual)}
+    start = F.when(F.col("piece").isin(sorted(listed)), USUAL_SHARE).otherwise(OTHER_SHARE)
+    share = F.least(F.lit(1.0), (F.col("k") + BEFORE * start) / (F.coalesce("shown", F.lit(0.0)) + BEFORE))
+    learned = seen.join(shown, F.substring_index("piece", ">", 1) == F.col("x"), "left").select("piece", share.alias("share"))
+    found = {r["piece"]: r["share"] for r in learned.where(F.col("share") >= 0.05).collect()}
+    unseen = {r["x"]: r["shown"] for r in shown.where(F.col("x").isin(sorted({x.split(">")[0] for x in listed}))).collect()}
+    for x in listed - {r["piece"] for r in learned.where(F.col("piece").isin(sorted(listed))).collect()}:
+        found[x] = BEFORE * USUAL_SHARE / (unseen.get(x.split(">")[0], 0.0) + BEFORE)
+    return sorted((x, -math.log(max(share, 1e-9))) for x, share in found.items())
+
+
+def two_slips(fix: str, costs: list[tuple[str, str, float]], most: float) -> dict[str, float]:
+    """Every form that two misreadings make of a word, with their least cost, up to `most`."""
+    one = {}
+    for x, y, cost in costs:
+        at = fix.find(x)
+        while at >= 0 and x:
+            form = fix[:at] + y + fix[at + len(x) :]
+            one[form, at + len(y)] = min(cost, one.get((form, at + len(y)), most))
+            at = fix.find(x, at + 1)
+    out: dict[str, float] = {}
+    for (form, begin), cost in one.items():  # the second behind the first, so that each pair comes once
+        for x, y, more in costs:
+            if x and cost + more <= most:
+                at = form.find(x, begin)
                 while at >= 0:
-                    keys.add("=" + word[:at] + a + word[at + len(b) :])
-                    at = word.find(b, at + 1)
-    else:
-        keys.add("=" + word)
-    return keys
+                    other = form[:at] + y + form[at + len(x) :]
+                    out[other] = min(cost + more, out.get(other, most))
+                    at = form.find(x, at + 1)
+    out.pop(fix, None)
+    return out
 
 
-def corrections(words: DataFrame, ratio: float = 8.0, high_ratio: float = 80.0, short_ratio: float = 200.0, confusions: str = USUAL) -> DataFrame:
-    """(word, fix, n, n_fix, how): every form with every form that it may be a misreading of.
+def corrections(words: DataFrame, usual: str = USUAL) -> DataFrame:
+    """(word, fix, n, n_fix, cost): every form with every form that it may be a misreading of.
 
-    A fix differs by one confusion and is far more frequent: by `ratio` at least for a form seen once,
-    rising to `high_ratio` for a form seen four times or more, which else is a word of its own, and by
-    `short_ratio` for words of two or three letters. Both sides of the index are spread by key; a key is a word less one
-    letter, so few forms share one, however large the corpus. Forms of one letter are left out.
+    cost is the weighted edit distance: of one misread piece, or of two that both have learned costs. A
+    repair may cost COST_A_LETTER for each letter. The counts must allow it (see explains); for two
+    misreadings at the square of the rate. Words of any length take part.
     """
-    pairs = pairs_of(confusions)
-    schema = "key string, word string, n bigint"
-
-    def index(rare: bool):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = [(k, w, n) for w, n in zip(batch["word"], batch["n"]) for k in keys_of(w, pairs, rare)]
-                yield pd.DataFrame(rows, columns=["key", "word", "n"])
+    close = materialize(close_forms(words), "close")
+    costs = confusion_costs(words, close, usual)
+    table = words.sparkSession.createDataFrame(costs or [("", 0.0)], "piece string, cost double")
+    bound = F.greatest(F.lit(COST_SHORT), COST_A_LETTER * F.length("word"))
+    one = close.join(F.broadcast(table), "piece").where(F.col("cost") <= bound).select("word", "fix", "n", "n_fix", "cost")
+    split = [(*x.split(">"), c) for x, c in costs]
 
-        return run
-
-    known = words.where((F.length("word") >= 2) & (F.length("word") <= 60))
-    right = known.where(F.col("n") >= ratio).mapInPandas(index(False), schema).selectExpr("key", "word AS fix", "n AS n_fix")
-    wrong = known.mapInPandas(index(True), schema)
-    rising = F.least(F.lit(high_ratio), ratio + (F.col("n") - 1) * (high_ratio - ratio) / 3)
-    least = F.when(F.length("word") <= 3, short_ratio).otherwise(rising)
-    met = wrong.join(right, "key").where((F.col("word") != F.col("fix")) & (F.col("n_fix") >= F.col("n") * least)).select("word", "fix", "n", "n_fix").distinct()
-
-    @F.pandas_udf("string")
-    def how(word: pd.Series, fix: pd.Series) -> pd.Series:
-        return pd.Series([misreadings(f, w, pairs) for w, f in zip(word, fix)])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(w, f, n, c) for f, n in zip(batch["word"], batch["n"]) for w, c in two_slips(f, split, max(COST_SHORT, COST_A_LETTER * (len(f) + 2))).items()]
+            yield pd.DataFrame(rows, columns=["word", "fix", "n_fix", "cost"])
 
-    return met.withColumn("how", how("word", "fix")).where("how <> ''")
+    frequent = words.where((F.col("n") * MOST_MISREAD**2 >= 0.1) & (F.length("word") >= 4)).select("word", "n")
+    made = frequent.mapInPandas(run, "word string, fix string, n_fix bigint, cost double").where(F.col("cost") <= bound)
+    two = made.join(words, "word").where(explains(F.col("n"), F.col("n_fix"), MOST_MISREAD**2)).select("word", "fix", "n", "n_fix", "cost")
+    return one.unionByName(two).groupBy("word", "fix").agg(F.max("n").alias("n"), F.max("n_fix").alias("n_fix"), F.round(F.min("cost"), 4).alias("cost"))
 
 
-STRUCTURE = "page_id string, book_id string, page_number double, first string, header int, header_key string, numbers array<int>, hyphens array<int>, pending int, unknown array<struct<line:int,rest:int,word:string,before:string,after:string>>"
+STRUCTURE = "page_id string, book_id string, page_number double, first string, header int, header_key string, numbers array<int>, hyphens array<int>, maybe array<struct<line:int,word:string>>, pending int, unknown array<struct<line:int,rest:int,word:string,before:string,after:string>>"
 
 
 def page_structure(texts: DataFrame, good: set[str]) -> DataFrame:
@@ -236,16 +313,16 @@ def page_structure(texts: DataFrame, good: set[str]) -> DataFrame:
             rows = []
             for pid, bid, number, text in zip(batch["page_id"], batch["book_id"], batch["page_number"], batch["text"]):
                 page = Page(text)
-                broken, pending = page.hyphens(good)
-                ws = page.words(good)
+                broken, pending, maybe = page.hyphens()
+                ws = page.words()
                 odd = [
                     {"line": i + 1, "rest": rest, "word": w, "before": ws[k - 1][2] if k else "", "after": ws[k + 1][2] if k + 1 < len(ws) else ""}
                     for k, (i, rest, w) in enumerate(ws)
                     if w not in good
                 ]
                 h = page.header
-                rows.append((pid, bid, number, page.first_word(), h + 1, header_key(page.lines[h]) if h >= 0 else None, [i + 1 for i in page.numbers], [i + 1 for i in broken], pending + 1, odd))
-            yield pd.DataFrame(rows, columns=["page_id", "book_id", "page_number", "first", "header", "header_key", "numbers", "hyphens", "pending", "unknown"])
+                rows.append((pid, bid, number, page.first_word(), h + 1, header_key(page.lines[h]) if h >= 0 else None, [i + 1 for i in page.numbers], [i + 1 for i in broken], [{"line": i + 1, "word": w} for i, w in maybe], pending + 1, odd))
+            yield pd.DataFrame(rows, columns=["page_id", "book_id", "page_number", "first", "header", "header_key", "numbers", "hyphens", "maybe", "pending", "unknown"])
 
     return texts.select("page_id", "book_id", "page_number", "text").mapInPandas(run, STRUCTURE)
 
@@ -273,7 +350,7 @@ def true_headers(structure: DataFrame, books: DataFrame) -> DataFrame:
 
 def good_words(words: DataFrame, wrong: DataFrame, most: int = 30_000) -> set[str]:
     """The most frequent forms that aren't misreadings, at most `most`: a shortcut that keeps them from
-    being looked up, not a limit of what is looked up."""
+    being looked up. What is looked up in vain otherwise has the same result, whatever `most` is."""
     top = words.join(wrong.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(most)
     return {r["word"] for r in top.select("word").collect()}
 
@@ -307,9 +384,12 @@ def noisy_lines(pages: DataFrame, books: DataFrame) -> DataFrame:
     no header. A hyphen at the end of a page counts if the book's next page goes on in small
     letters.
     """
-    _, _, wrong, structure = prepare(pages)
+    _, words, wrong, structure = prepare(pages)
     kinds = lambda c, kind: structure.select("page_id", F.explode(c).alias("line_no"), F.lit(kind).alias("kind"))
     out = kinds("numbers", "page_number").unionByName(kinds("hyphens", "hyphen"))
+    known = words.where("n >= 2").select("word").join(wrong.select("word"), "word", "left_anti")
+    joined = structure.select("page_id", F.explode("maybe").alias("m")).select("page_id", F.col("m.line").alias("line_no"), "m.word").join(known, "word", "left_semi")
+    out = out.unionByName(joined.select("page_id", "line_no", F.lit("hyphen").alias("kind")))
     out = out.unionByName(true_headers(structure, books).withColumn("kind", F.lit("header")))
     ends = pagetext.with_next(structure.select(F.col("page_id").alias("id"), "book_id", "page_number", "first", "pending"), {"next_first": "first"})
     small_letter = F.col("next_first").rlike(r"^\p{Ll}") & ~F.col("next_first").isin(sorted(JOINERS))
