@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.session import materialize
+from scriptorium.session import materialize, small
 
 WORD = re.compile(r"[^\W\d_]{2,}")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -97,16 +97,12 @@ def near_prior(n: int, m: int, width: float = 0.09, top: float = 0.3) -> np.ndar
     return np.where(best > 0, w * np.maximum(1.0, top / np.maximum(best, 1e-9)), 0.0)
 
 
-#: Key under which the number of sentences is counted.
-SENTENCES = -(1 << 60)
-#: Keys from here on count, of each source word, the weights of its sentences' rows.
-MASSES = -(1 << 40)
 #: Weights are counted as whole numbers of so small a part, so that sums don't depend on their order.
 #: The least weight of the prior is three of them.
 STEPS = 200
 #: Most word pairs held before they are summed, most cells of a page's word matrix at once, and most
 #: cells of a table of sums; where more are needed, sums are made by sorting.
-HELD, CELLS, TABLE = 3_000_000, 1_000_000, 12_000_000
+HELD, CELLS, TABLE = 3_000_000, 1_000_000, 8_000_000
 #: Words of a part (about 2,000 pages), and of the pages of a part that are worked on at once.
 PART_WORDS, CHUNK_WORDS = 500_000, 40_000
 
@@ -366,13 +362,14 @@ def counts_of(src: list, n_src: list, trg: list, n_trg: list, lexicon: Lexicon |
         levels = [near_prior(n, m) for n, m in zip(p.n, p.m)] if lexicon is None else [np.minimum(x, 1.0) for x in plans(p, lexicon)[0]]
         for i, level in zip(range(a, b), levels):
             s, t = s_all[s_end[i] - len(src[i]) : s_end[i]], t_all[t_end[i] - len(trg[i]) : t_end[i]]
-            row = np.rint((level.sum(axis=1) if lexicon is None else np.ones(len(level))) * STEPS).astype(np.int64)
-            mass += np.bincount(s, np.repeat(row, n_src[i]), minlength=len(s_words)).astype(np.int64)
+            if lexicon is None:
+                row = np.rint(level.sum(axis=1) * STEPS).astype(np.int64)
+                mass += np.bincount(s, np.repeat(row, n_src[i]), minlength=len(s_words)).astype(np.int64)
             for x, y, c in page_sums(s, np.asarray(n_src[i]), t, np.asarray(n_trg[i]), np.rint(level * STEPS)):
                 yield from sums.add(x, y, c)
     yield from sums.end()
-    n_s, n_t = np.bincount(s_all, minlength=len(s_words)) * STEPS, np.bincount(t_all, minlength=len(t_words)) * STEPS
-    yield pd.DataFrame({"key": np.concatenate([-1 - s_words, MASSES - s_words, t_words + (1 << 62), [SENTENCES]]), "c": np.concatenate([n_s, mass, n_t, [len(every.n_s) * STEPS]])})
+    if lexicon is None:
+        yield pd.DataFrame({"key": -1 - s_words, "c": mass})
 
 
 def page_sums(s: np.ndarray, n_s: np.ndarray, t: np.ndarray, n_t: np.ndarray, level: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -405,21 +402,19 @@ def chunks(src: list, trg: list) -> Iterator[tuple[int, int]]:
         yield a, len(src)
 
 
-def parted(texts: DataFrame) -> tuple[DataFrame, int]:
-    """texts with `part`: pages are spread by hash over parts of about PART_WORDS words, whatever the
-    number of pages."""
-    words = texts.agg(F.sum(F.size("src") + F.size("trg"))).first()[0] or 0
-    n = 1 + words // PART_WORDS
-    return texts.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int")), n
+def parted(texts: DataFrame) -> tuple[DataFrame, int, int]:
+    """texts with `part`, the number of parts, and of source sentences: pages are spread by hash over
+    parts of about PART_WORDS words, whatever the number of pages."""
+    words, sentences = texts.agg(F.sum(F.size("src") + F.size("trg")), F.sum(F.size("n_src"))).first()
+    n = 1 + (words or 0) // PART_WORDS
+    return texts.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int")), n, sentences or 1
 
 
 def vocabulary(texts: DataFrame) -> DataFrame:
-    """(part, side, code): the words of each part, side 0 being the source."""
+    """(part, side, code, n): the words of each part and in how many of its sentences they are, side 0 being
+    the source."""
     side = lambda c, k: texts.select("part", F.lit(k).alias("side"), F.explode(F.col(c).cast("array<bigint>")).alias("code"))
-    return side("src", 0).unionByName(side("trg", 1)).distinct()
-
-
-SHARD = "part int, kind int, s bigint, t bigint, w double"
+    return side("src", 0).unionByName(side("trg", 1)).groupBy("part", "side", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
 def shards(vocab: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -448,40 +443,42 @@ def by_part(texts: DataFrame, n: int, shard: DataFrame | None, work, schema: str
 
 def pair_counts(texts: DataFrame, n: int, shard: DataFrame | None) -> DataFrame:
     """(key, c): weighted counts of word pairs in sentences that correspond: at like places if there is
-    no lexicon yet, else by the transport plan. The keys -1 - s, MASSES - s, t + 2^62 and SENTENCES count
-    the single words, the weights of their rows and the sentences, so that one aggregation does all.
-    Counted within each part first."""
+    no lexicon yet, else by the transport plan. Without a lexicon the keys -1 - s count, of each source
+    word, the weights of its sentences' rows; with one each row weighs 1. Counted within each part first."""
     work = lambda src, n_src, trg, n_trg, ids, lexicon: counts_of(src, n_src, trg, n_trg, lexicon)
     return by_part(texts, n, shard, work, "key bigint, c bigint").groupBy("key").agg((F.sum("c") / STEPS).alias("c"))
 
 
-def learn(texts: DataFrame, n: int, shard: DataFrame | None, least: float = 0.06, support: float = 1.2) -> DataFrame:
+def learn(texts: DataFrame, n: int, vocab: DataFrame, total: int, shard: DataFrame | None, least: float = 0.06, support: float = 1.2, narrow_rows: int = 200_000) -> DataFrame:
     """One round of learning over all pages: (kind, s, t, w), see Lexicon. The weight of a pair is the
     share of the source word's sentences whose counterpart holds the target word, less what chance gives,
-    and less for few cases. The share doesn't depend on how large a part of the corpus a language is."""
-    counts = materialize(pair_counts(texts, n, shard), "pairs")
-    src = counts.where(F.col("key").between(-(1 << 32), -1)).select((-1 - F.col("key")).alias("s"), F.col("c").alias("n_s"))
-    masses = counts.where(F.col("key").between(MASSES - (1 << 32), MASSES)).select((MASSES - F.col("key")).alias("s"), F.col("c").alias("mass"))
-    src = src.join(masses, "s")
-    trg = counts.where(F.col("key") >= 1 << 62).select((F.col("key") - (1 << 62)).alias("t"), F.col("c").alias("n_t"))
-    counted_sentences = counts.where(F.col("key") == SENTENCES).first()
-    total = float(counted_sentences["c"]) if counted_sentences else 1.0
-    pairs = counts.where((F.col("key") >= 0) & (F.col("key") < 1 << 62) & (F.col("c") >= support)).select(F.shiftright("key", 31).alias("s"), F.col("key").bitwiseAND(0x7FFFFFFF).alias("t"), "c")
+    and less for few cases. The share doesn't depend on how large a part of the corpus a language is.
+    Pairs of a lower sum than `support` have no weight. total: the number of source sentences."""
+    key, c = F.col("key"), F.col("c")
+    counts = materialize(pair_counts(texts, n, shard).where((key < 0) | (c >= support)), "pairs")
+    of = lambda side, name, count: vocab.where(F.col("side") == side).groupBy(F.col("code").alias(name)).agg(F.sum("n").alias(count))
+    src, trg = of(0, "s", "n_s"), of(1, "t", "n_t")
+    if shard is None:
+        src = src.join(counts.where(key < 0).select((-1 - key).alias("s"), c.alias("mass")), "s")
+    else:
+        src = src.withColumn("mass", F.col("n_s").cast("double"))
+    worth = F.when(F.col("n_t") >= 3, F.least(F.lit(1.0), F.log(F.lit(float(total)) / F.col("n_t") + 1) / 5)).otherwise(F.lit(1.0))
+    src, trg = materialize(src, "sources"), materialize(trg.withColumn("g", worth), "targets")
+    pairs = counts.where(key >= 0).select(F.shiftright("key", 31).alias("s"), key.bitwiseAND(0x7FFFFFFF).alias("t"), "c")
     scored = (
-        pairs.join(src, "s")
-        .join(trg, "t")
-        .withColumn("w", (F.col("c") / F.col("n_s") - F.col("mass") / F.col("n_s") * F.col("n_t") / total) * F.col("c") / (F.col("c") + 1))
+        pairs.join(small(src, narrow_rows), "s")
+        .join(small(trg, narrow_rows), "t")
+        .withColumn("w", (c / F.col("n_s") - F.col("mass") / F.col("n_s") * F.col("n_t") / total) * c / (c + 1))
         .where(F.col("w") >= least)
     )
-    worth = F.when(F.col("n_t") >= 3, F.least(F.lit(1.0), F.log(F.lit(total) / F.col("n_t") + 1) / 5)).otherwise(F.lit(1.0))
-    scored = materialize(scored.select("s", "t", "w", worth.alias("g")), "scored")
+    scored = materialize(scored.select("s", "t", "w", "g"), "scored")
     kept = scored.groupBy("s").agg(F.max("w").alias("top")).join(scored, "s").where(F.col("w") >= F.col("top") * 0.2)
     kept = kept.select("s", "t", F.least(F.col("w") * 1.6, F.lit(1.0)).alias("w"), "g")
     best = kept.groupBy("s").agg(F.max(F.col("w") * F.col("g")).alias("w"))
     rows = (
         kept.select(F.lit(0).alias("kind"), "s", "t", "w")
         .unionByName(best.select(F.lit(1).alias("kind"), "s", F.lit(0).cast("long").alias("t"), "w"))
-        .unionByName(trg.select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("s"), "t", worth.alias("w")))
+        .unionByName(trg.select(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("s"), "t", F.col("g").alias("w")))
     )
     return materialize(rows, "lexicon")
 
@@ -516,9 +513,9 @@ def align(texts: DataFrame, n: int, shard: DataFrame, share: float = 0.5, least:
 def align_pages(pages: DataFrame, rounds: int = 3) -> DataFrame:
     """Links of all pages (page_id, src, trg), with a lexicon learned from all of them. An empty table
     gives an empty table; a page given twice is linked twice, with equal rows."""
-    texts, n = parted(materialize(encoded(pages), "bitexts"))
+    texts, n, total = parted(materialize(encoded(pages), "bitexts"))
     vocab = materialize(vocabulary(texts), "vocabulary")
     shard = None
     for _ in range(rounds):
-        shard = shards(vocab, learn(texts, n, shard))
+        shard = shards(vocab, learn(texts, n, vocab, total, shard))
     return align(texts, n, shard)

@@ -72,7 +72,8 @@ def test_long_pages_teach_the_lexicon(spark):
         src, trg = ([" ".join(words[k] for k in pick) + "." for pick in picks] for words in (source, target))
         rows.append((f"p{p}", " ".join(src), " ".join(trg)))
     df = spark.createDataFrame(rows, "page_id string, src string, trg string")
-    first = alignment.learn(*alignment.parted(alignment.encoded(df)), None).where("kind = 0").collect()
+    texts, n, total = alignment.parted(alignment.encoded(df))
+    first = alignment.learn(texts, n, alignment.vocabulary(texts), total, None).where("kind = 0").collect()
     pairs = {(alignment.code(s), alignment.code(t)) for s, t in zip(source, target)}
     assert len(pairs & {(r.s, r.t) for r in first}) >= 57
     got = {(r.page_id, r.ocr_sent, r.trans_sent) for r in alignment.align_pages(df).collect()}
