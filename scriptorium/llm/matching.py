@@ -255,7 +255,8 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float = 0.0, radius: i
     n_blocks, n_title = len(BLOCKS), TITLE_BITS // 64
 
     def postings(df: DataFrame, x: str) -> DataFrame:
-        keys = [F.struct(F.lit(t).alias("tab"), F.xxhash64(F.lit(t), F.col("blocks")[i], F.col("blocks")[j]).alias("key"), (F.col("blocks")[i].isNotNull() & F.col("blocks")[j].isNotNull()).alias("ok")) for t, (i, j) in enumerate(TABLES)]
+        # tab says which two blocks are equal, as bits
+        keys = [F.struct(F.lit((1 << i) + (1 << j)).alias("tab"), F.xxhash64(F.lit(i), F.lit(j), F.col("blocks")[i], F.col("blocks")[j]).alias("key"), (F.col("blocks")[i].isNotNull() & F.col("blocks")[j].isNotNull()).alias("ok")) for i, j in TABLES]
         vector = [F.col("blocks")[i].alias(f"{x}{i}") for i in range(n_blocks)] + [F.get("title_bits", F.lit(i)).alias(f"{x}t{i}") for i in range(n_title)]
         return df.select(F.col("form").alias(f"form_{x}"), *vector, F.col("place_bits").alias(f"{x}p"), F.col("volume").alias(f"{x}v"), F.explode(F.filter(F.array(*keys), lambda k: k["ok"])).alias("k")).select("*", "k.tab", "k.key").drop("k")
 
@@ -272,15 +273,15 @@ def close_pairs(left: DataFrame, right: DataFrame, least: float = 0.0, radius: i
         others = F.sequence(F.lit(0), F.coalesce(f"parts_{y}", F.lit(1)) - 1)
         return cut.withColumn(f"slice_{x}", own).withColumn(f"slice_{y}", F.explode(others)).drop("parts_a", "parts_b")
 
-    equal = [F.coalesce(F.col(f"a{i}") == F.col(f"b{i}"), F.lit(False)) for i in range(n_blocks)]
-    first = F.lit(False)
-    for t, (i, j) in enumerate(TABLES):
-        earlier = [~equal[k] for k in range(j) if k != i]
-        first = F.when(F.col("tab") == t, reduce(lambda x, y: x & y, [equal[i], equal[j], *earlier])).otherwise(first)
+    # the equal blocks as bits; up to the table's second block they must be just its two
+    equal = reduce(lambda x, y: x + y, [F.when(F.col(f"a{i}") == F.col(f"b{i}"), 1 << i).otherwise(0) for i in range(n_blocks)])
+    upto = reduce(lambda x, j: F.when(F.col("tab") >= 1 << j, (2 << j) - 1).otherwise(x), range(1, n_blocks), F.lit(0))
+    first = equal.bitwiseAND(upto) == F.col("tab")
     distance = reduce(lambda x, y: x + y, [F.coalesce(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))), F.lit(0)) for i in range(n_blocks)])
     of = lambda *names: dice([F.col(f"a{n}") for n in names], [F.col(f"b{n}") for n in names])
     scores = {"title": of(*[f"t{i}" for i in range(n_title)]), "author": of("0"), "year": of("1"), "place": of("p")}
-    weight = reduce(lambda x, y: x + y, [F.when(scores[f].isNotNull(), w).otherwise(0.0) for f, w in WEIGHTS.items()])
+    there = {"title": F.lit(True)} | {f: F.col(f"a{n}").isNotNull() & F.col(f"b{n}").isNotNull() for f, n in (("author", "0"), ("year", "1"), ("place", "p"))}
+    weight = reduce(lambda x, y: x + y, [F.when(there[f], w).otherwise(0.0) for f, w in WEIGHTS.items()])
     similarity = F.coalesce(F.try_divide(reduce(lambda x, y: x + y, [F.coalesce(w * scores[f], F.lit(0.0)) for f, w in WEIGHTS.items()]), weight), F.lit(0.0))
     met = sliced(a, "a", "b").join(sliced(b, "b", "a"), ["tab", "key", "slice_a", "slice_b"]).where(first & (distance <= radius) & (similarity >= least))
     bins = {f"d_{f}": binned(c, *DICES[f"d_{f}"]) for f, c in scores.items()} | {"d_volume": (F.col("av") == F.col("bv")).cast("int")}
@@ -382,10 +383,12 @@ def weights_of(patterns: list[tuple], rounds: int = 40) -> dict[tuple, float]:
     return odds
 
 
-def calibrated(points: list[tuple[float, int, int]]) -> list[float]:
-    """Isotonic regression of shares on scores (pool adjacent violators). points: (score, n, hits); equal
-    scores share a value; one hit and one miss of half a pair each are added to every pool, so that
-    nothing is certain. Returns a confidence for each point, not falling with the score."""
+def calibrated(points: list[tuple[float, int, int]], own: float = 20.0) -> list[float]:
+    """A confidence for each point (score, n, hits): the share of hits among its pairs, drawn towards the
+    share that its score stands for as if `own` more pairs had been seen with that. The latter is the
+    isotonic regression of shares on scores (pool adjacent violators); half a hit and half a miss are
+    added to every pool, so that nothing is certain. Many pairs speak for themselves, few follow their
+    score."""
     pools: list[list] = []  # [n, hits, places]
     merged: dict[float, list] = {}
     for i, (score, n, hits) in enumerate(points):
@@ -402,7 +405,8 @@ def calibrated(points: list[tuple[float, int, int]]) -> list[float]:
     out = [0.0] * len(points)
     for p in pools:
         for i in p[2]:
-            out[i] = share(p)
+            _, n, hits = points[i]
+            out[i] = (hits + own * share(p)) / (n + own)
     return out
 
 
@@ -414,7 +418,7 @@ def common_words(records: DataFrame, total: int, share: float) -> list[str]:
     return [r["word"] for r in title_words(records).where(n - 2 * F.sqrt(n) > share * total).collect()]
 
 
-def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, least_similarity: float = 0.45, least_confidence: float = 0.01) -> DataFrame:
+def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, least_similarity: float = 0.5, least_confidence: float = 0.001) -> DataFrame:
     """Pairs of records of two tables that are the same printing.
 
     left, right: (key, title, author, year, place), all but key text that may be null or empty.
