@@ -2,7 +2,9 @@
 
 Distinct values are normalised, meet the names of the reference list in a character n-gram inverted
 index, are scored by weighted cosine, and are accepted above a threshold and with a margin to the
-best name of any other entry. An edit-distance check follows.
+best name of any other entry. An edit-distance check follows. The names of an entry are those of the
+reference list, and those of a table of aliases, which is given or learned from values that stand beside
+known names.
 """
 
 from __future__ import annotations
@@ -13,38 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.llm.matching import near
+from scriptorium.session import materialize, small
 
-# Names of languages in Latin, German, French, Italian, English, Dutch and Spanish, by English name.
-EXONYMS = """
-Latin: latina, latine, lingua latina, lateinisch, latein, latinisch, latin, latino, latijn, latijns, latín
-German: germanice, germanica, deutsch, teutsch, hochdeutsch, allemand, tedesco, german, high german, duits, hoogduits, alemán
-French: gallice, gallica, französisch, français, francese, french, frans, francés
-Italian: italice, italica, italienisch, italien, italiano, italian, italiaans
-English: anglice, anglica, englisch, anglais, inglese, english, engels, inglés
-Dutch: belgice, hollandice, niederländisch, holländisch, néerlandais, hollandais, olandese, neerlandese, dutch, nederlands, hollands, nederduits, neerlandés, holandés
-Spanish: hispanice, hispanica, spanisch, kastilisch, espagnol, castillan, spagnolo, castigliano, spanish, castilian, spaans, castiliaans, español, castellano
-Greek: graece, graeca, griechisch, altgriechisch, grec, greco, greek, ancient greek, grieks, griego
-Hebrew: hebraice, hebraica, hebräisch, hébreu, ebraico, hebrew, hebreeuws, hebreo
-Arabic: arabice, arabica, arabisch, arabe, arabo, arabic, árabe
-Portuguese: lusitanice, portugiesisch, portugais, portoghese, portuguese, portugees, portugués
-Sanskrit: sanscritice, samskrta, sanskrit, sanskritisch, sanscrit, sanscrito, sánscrito
-Syriac: syriace, syrisch, syriaque, siriaco, syriac
-Aramaic: aramaice, chaldaice, aramäisch, araméen, aramaico, aramaic, aramees, arameo
-Old English: anglosaxonice, altenglisch, angelsächsisch, vieil anglais, inglese antico, anglo-saxon, oudengels, inglés antiguo, anglosajón
-Middle English: mittelenglisch, moyen anglais, inglese medio, medio inglese, middle english, middelengels, inglés medio
-Czech: bohemice, tschechisch, böhmisch, tchèque, ceco, czech, bohemian, tsjechisch, checo
-Polish: polonice, polnisch, polonais, polacco, polish, pools, polaco
-Hungarian: hungarice, ungarisch, hongrois, ungherese, hungarian, hongaars, húngaro
-Danish: danice, dänisch, danois, danese, danish, deens, danés
-Swedish: suecice, svecice, schwedisch, suédois, svedese, swedish, zweeds, sueco
-Catalan: catalanice, katalanisch, catalan, catalano, catalaans, catalán
-Persian: persice, persisch, persan, persiano, persian, farsi, perzisch, persa
-Armenian: armenice, armenisch, arménien, armeno, armenian, armeens, armenio
-Coptic: coptice, koptisch, copte, copto, coptic, koptisch
-Church Slavonic: slavonice, kirchenslawisch, altslawisch, altkirchenslawisch, slavon, slavon liturgique, slavo ecclesiastico, church slavonic, old slavonic, old church slavonic, slavonic, kerkslavisch, eslavo eclesiástico
-"""
-# Bibliographic three-letter codes that differ from the terminological ones.
-BIBLIOGRAPHIC = "ger: German, fre: French, dut: Dutch, gre: Greek, cze: Czech, per: Persian, arm: Armenian"
 # Words around a language name that don't change which language it is.
 AROUND = ["language", "text", "lingua", "sprache", "langue", "lengua", "taal", "mostly", "in", "mainly", "chiefly", "orig", "original", "probably", "auf", "en", "op", "idioma"]
 #: Joins between two names: such a value denotes more than one entry.
@@ -75,15 +47,36 @@ def grams(c: Column) -> Column:
     return F.array_distinct(F.concat(two, three))
 
 
-def reference_names(canonical: DataFrame) -> DataFrame:
-    """(canonical_code, alias, kind): every name of every entry, plain; kind is name or iso."""
-    spark = canonical.sparkSession
-    extra = []
-    for line in EXONYMS.strip().splitlines():
-        code, _, names = line.partition(": ")
-        extra += [(code, n.strip(), "name") for n in names.split(",")]
-    extra += [(b.strip(), a.strip(), "iso") for a, b in (x.split(":") for x in BIBLIOGRAPHIC.split(","))]
-    listed = canonical.select(
+def learned_aliases(rows: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, row_id: str = "lang_row_id", values: str = "values", least: int = 3, share: float = 0.75, rounds: int = 2) -> DataFrame:
+    """(entry, alias, kind): names learned from rows whose `values` (an array) mostly denote one language.
+
+    A value that is no known name gets a vote from each row for the entry that the row's known names
+    denote, if they agree. It becomes an alias with at least `least` votes, of which `share` are for one
+    entry; a row given twice votes once. Values that name several entries, and those of one or two
+    letters, don't. Null and empty arrays and values have no vote. The names of one round are known in the
+    next. aliases: names known before, which aren't returned.
+    """
+    if rounds > 1:
+        first = learned_aliases(rows, canonical, aliases, row_id, values, least, share, rounds - 1)
+        more = learned_aliases(rows, canonical, first if aliases is None else aliases.unionByName(first), row_id, values, least, share, 1)
+        return materialize(first.unionByName(more), "aliases")
+    names = reference_names(canonical, aliases)
+    exact = names.groupBy("alias").agg(F.collect_set("canonical_code").alias("codes")).where(F.size("codes") == 1).select("alias", F.col("codes")[0].alias("code"))
+    each = rows.select(F.col(row_id).alias("row"), F.explode(F.array_distinct(F.col(values))).alias("v")).where("v <> ''")
+    each = materialize(each.withColumn("alias", bare(plain(F.col("v")))).where("alias <> ''").select("row", "alias").distinct(), "values")
+    known = each.join(small(exact, 100_000), "alias", "left")
+    agreed = known.groupBy("row").agg(F.collect_set("code").alias("codes")).where(F.size("codes") == 1).select("row", F.col("codes")[0].alias("entry_code"))
+    votes = known.where(F.col("code").isNull() & ~F.col("alias").rlike(r"[,;/&+|]") & (F.length("alias") > 2)).join(agreed, "row").groupBy("alias", "entry_code").agg(F.count(F.lit(1)).alias("n"))
+    judged = votes.groupBy("alias").agg(F.sum("n").alias("total"), F.max_by("entry_code", F.struct("n", "entry_code")).alias("entry_code"), F.max("n").alias("n"))
+    kept = judged.where((F.col("n") >= least) & (F.col("n") >= share * F.col("total")))
+    entries = canonical.select(F.col("code").alias("entry_code"), F.col("name").alias("entry"))
+    return materialize(kept.join(entries, "entry_code").select("entry", "alias", F.lit("name").alias("kind")), "aliases")
+
+
+def reference_names(canonical: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(canonical_code, alias, kind): every name of every entry, plain; kind is name or iso. aliases:
+    (entry, alias, kind), entry being the name of an entry; those of other entries are left out."""
+    both = canonical.select(
         F.col("code").alias("canonical_code"),
         F.explode(
             F.array(
@@ -92,9 +85,10 @@ def reference_names(canonical: DataFrame) -> DataFrame:
             )
         ).alias("x"),
     ).select("canonical_code", "x.alias", "x.kind")
-    known = canonical.select(F.col("name").alias("n"), F.col("code").alias("c"))
-    more = spark.createDataFrame(extra, "n string, alias string, kind string").join(F.broadcast(known), "n").select(F.col("c").alias("canonical_code"), "alias", "kind")
-    both = listed.unionByName(more).where("alias is not null and trim(alias) <> ''")
+    if aliases is not None:
+        known = canonical.select(F.col("name").alias("entry"), F.col("code").alias("canonical_code"))
+        both = both.unionByName(aliases.join(known, "entry").select("canonical_code", "alias", "kind"))
+    both = both.where("alias is not null and trim(alias) <> ''")
     p = plain(F.col("alias"))
     forms = F.when(F.col("kind") == "iso", F.array(p)).otherwise(F.array_distinct(F.array(bare(p), F.regexp_replace(p, "-", " "))))
     return both.withColumn("alias", F.explode(forms)).where("alias <> ''").distinct()
@@ -110,15 +104,16 @@ def slip_count(a: str, b: str) -> Column:
     return count(a, b)
 
 
-def map_values(values: DataFrame, canonical: DataFrame, value: str = "raw_value", threshold: float = 0.12, margin: float = 0.04) -> DataFrame:
+def map_values(values: DataFrame, canonical: DataFrame, aliases: DataFrame | None = None, value: str = "raw_value", threshold: float = 0.2, margin: float = 0.04) -> DataFrame:
     """Each distinct value with the entry it denotes, or '-', and its score.
 
-    Result: value, canonical_code, score, how (exact, prefix, typo, several or none). Null and
+    aliases: more names of entries, see reference_names. Result: value, canonical_code, score, how (exact,
+    prefix, typo, several or none). Null and
     empty values are left out. A value that names two entries is '-' with how = several. Cost: one
     row per distinct value; the n-grams of both sides meet in a join, so neither needs to fit in
     memory.
     """
-    names = reference_names(canonical)
+    names = materialize(reference_names(canonical, aliases), "names")
     distinct = values.select(F.col(value).alias("v")).where("v is not null and v <> ''").distinct()
     norm = distinct.withColumn("p", plain(F.col("v"))).withColumn("q", bare(F.col("p")))
 

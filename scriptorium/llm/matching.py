@@ -418,7 +418,7 @@ def common_words(records: DataFrame, total: int, share: float) -> list[str]:
     return [r["word"] for r in title_words(records).where(n - 2 * F.sqrt(n) > share * total).collect()]
 
 
-def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, least_similarity: float = 0.5, least_confidence: float = 0.001) -> DataFrame:
+def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018, least_similarity: float = 0.5, least_confidence: float = 0.02) -> DataFrame:
     """Pairs of records of two tables that are the same printing.
 
     left, right: (key, title, author, year, place), all but key text that may be null or empty.

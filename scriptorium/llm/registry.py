@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import alignment, langid, languages, lookalike, matching, mixing, packing, pagetext, repair, tokens, truncation
-from scriptorium.session import materialize, table
+from scriptorium.session import materialize, small, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,12 +32,19 @@ def p9_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.canonical_texts(table(spark, d, "documents")).select("doc_id", "canonical_text", "changed")
 
 
+def _aliases(spark: SparkSession, d: str) -> DataFrame:
+    """Names of languages, learned from the values that stand beside known names in language_counts."""
+    counts = table(spark, d, "language_counts")
+    together = F.array_union(F.array("code"), F.coalesce("variants", F.array().cast("array<string>")))
+    return languages.learned_aliases(counts.select("lang_row_id", together.alias("values")), table(spark, d, "canonical_languages"))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     canonical = table(spark, d, "canonical_languages")
     typed = languages.typed_values(table(spark, d, "language_counts"))
     typed = typed.join(canonical.select(F.col("code").alias("raw_value")), "raw_value", "left_anti")
-    mapped = languages.map_values(typed, canonical)
+    mapped = languages.map_values(typed, canonical, _aliases(spark, d))
     return typed.join(mapped.select("raw_value", "canonical_code"), "raw_value").select("lang_row_id", "raw_value", "canonical_code")
 
 
@@ -45,7 +52,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_unmatched(spark: SparkSession, d: str) -> DataFrame:
     canonical = table(spark, d, "canonical_languages")
     typed = languages.typed_values(table(spark, d, "language_counts"))
-    mapped = languages.map_values(typed, canonical).where("canonical_code = '-'")
+    mapped = languages.map_values(typed, canonical, _aliases(spark, d)).where("canonical_code = '-'")
     return typed.join(mapped, "raw_value").groupBy("raw_value", "how").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
@@ -108,9 +115,9 @@ def p4_sources(spark: SparkSession, d: str) -> DataFrame:
 def _book_languages(spark: SparkSession, d: str) -> DataFrame:
     """(book_id, book_lang): the ISO 639-1 code that books.language denotes, or null."""
     books, canonical = table(spark, d, "books").select("id", "language"), table(spark, d, "canonical_languages")
-    mapped = languages.map_values(books, canonical, value="language")
+    mapped = languages.map_values(books, canonical, _aliases(spark, d), value="language")
     iso = canonical.select(F.col("code").alias("canonical_code"), F.col("iso639_1").alias("book_lang"))
-    known = mapped.join(F.broadcast(iso), "canonical_code").select("language", "book_lang")
+    known = mapped.join(small(iso, 10_000), "canonical_code").select("language", "book_lang")
     return books.join(known, "language", "left").select(F.col("id").alias("book_id"), "book_lang")
 
 
@@ -121,7 +128,7 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     texts = materialize(latest.select("page_id", "book_id", "text"), "texts")
     labels = texts.select("page_id", "book_id", F.length("text").alias("n")).join(_book_languages(spark, d), "book_id", "left")
     labels = materialize(labels.select("page_id", F.col("book_lang").alias("lang"), "n"), "labels")
-    model = langid.fit(langid.labelled_sentences(table(spark, d, "language_samples"), texts, labels), epochs=3)
+    model = langid.fit(langid.labelled_sentences(table(spark, d, "language_samples"), texts, labels))
     return langid.segment_pages(texts, model).join(labels.select("page_id", F.col("lang").alias("book_lang")), "page_id")
 
 
