@@ -25,7 +25,7 @@ ORDERS = (1, 2, 3, 4)
 SAMPLE_PAGES_PER_LANGUAGE = 250
 
 WORD = re.compile(r"[^\W\d_]+")
-MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]{0,120}</\1>|<[^>]*>|\[\[meta:[^\]]*\]\]|\[\[\w+:|\]\]|\[\[")
+MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]*</\1>|<[^>]*>|\[\[meta:[^\]]*\]\]|\[\[\w+:|\]\]|\[\[")
 BROKEN = re.compile(r"(\w)[-=⸗¬‐­] *\n+(?=\w)")
 #: A sentence ends behind its mark and before white space; a heading or number line isn't part of one.
 SENTENCE_END = re.compile(r"(?<=[.!?])[\"'»”’)]*\s+")

@@ -3,7 +3,8 @@
 Look-alike classes are the transitive closure, by union-find, over code points and short strings
 (ligatures, full-width forms, look-alike letters). The representative of a class is its most
 frequent member in the corpus; texts are rewritten by a multi-pattern automaton, longest match
-first.
+first. Full-width, narrow and no-break forms, ligatures and combining accents come from the Unicode
+tables, for all scripts; look-alike letters are those of the stated Latin, Greek and Cyrillic pairs.
 """
 
 from __future__ import annotations
@@ -61,12 +62,6 @@ y: у
 #: Compatibility decompositions that leave the look of a character as it is.
 SAME_LOOK = {"<wide>", "<narrow>", "<noBreak>"}
 LIGATURES = range(0xFB00, 0xFB05)
-JOINERS = {0x034F, 0x180E} | set(range(0xFE00, 0xFE10))
-
-
-def invisible(cp: int) -> bool:
-    """Characters without a shape of their own: format characters and variation selectors."""
-    return unicodedata.category(chr(cp)) == "Cf" or cp in JOINERS
 
 
 class Classes:
@@ -230,6 +225,14 @@ def canonical_texts(docs: DataFrame, unique_id: str = "doc_id", text: str = "tex
     return docs.select(F.col(unique_id).alias("__id"), F.col(text).alias("__text")).mapInPandas(rewrite, schema)
 
 
+def look_alike_classes(docs: DataFrame, unique_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(look, n_docs, n_texts, first_id): each class of documents that look the same though their texts
+    aren't all the same string: how many documents and different strings it holds, and its least id. One
+    row per class, however large, so that a class of copies needn't be expanded into pairs."""
+    keyed = canonical_texts(docs, unique_id, text, keep_text=False).where("look is not null").groupBy("look", "exact").agg(F.count_distinct(unique_id).alias("n"), F.min(unique_id).alias("first"))
+    return keyed.groupBy("look").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("first_id")).where("n_texts > 1")
+
+
 def look_alike_pairs(docs: DataFrame, unique_id: str = "doc_id", text: str = "text", per_slice: int = 5_000) -> DataFrame:
     """Pairs (a < b) of documents whose texts look the same without being the same string.
 

@@ -38,8 +38,9 @@ def mix(counted: DataFrame, targets: DataFrame, unique_id: str = "doc_id", sourc
 
     Every record is used budget div have times, and once more while the prefix sum in random order
     stays within the rest of the budget; the record on the cut is taken if that comes nearer to the
-    budget. So a source misses its budget by at most half a record. Records without tokens are never chosen. targets: the list of mixes, of a size that
-    doesn't grow with the records; it is joined by source, whose rows are spread by the hash order.
+    budget. So a source misses its budget, or goes over it, by at most half a record; shares() tells by how
+    much. Records without tokens are never chosen. targets: the list of mixes, of a size that doesn't grow
+    with the records; it is joined by source, whose rows are spread by the hash order.
     """
     # 52 random bits per record and seed
     position = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(unique_id)), 12) / F.lit(float(2**52))
@@ -61,7 +62,8 @@ def goals_fit(targets: DataFrame, most: int = 10_000) -> bool:
 
 
 def shares(mixed: DataFrame, goals: DataFrame) -> DataFrame:
-    """Target and actual share of each source of each mix, by tokens; a source that gave nothing has 0."""
+    """Target and actual share of each source of each mix, by tokens, and how far it is over its budget
+    (under it if negative); a source that gave nothing has 0. goals: from budgets()."""
     got = mixed.groupBy("mix_name", "source").agg(
         F.sum(F.col("tokens") * F.col("repeats")).alias("used_tokens"), F.count(F.lit(1)).alias("records"), F.max("repeats").alias("most_repeats")
     )
@@ -70,7 +72,7 @@ def shares(mixed: DataFrame, goals: DataFrame) -> DataFrame:
     return (
         goals.join(got, ["mix_name", "source"], "left")
         .join(total, "mix_name", "left")
-        .select("mix_name", "source", "target_share", zero("used_tokens"), zero("records"), zero("most_repeats"),
+        .select("mix_name", "source", "target_share", "budget", zero("used_tokens"), (F.coalesce(F.col("used_tokens"), F.lit(0)) - F.col("budget")).alias("over_budget"), zero("records"), zero("most_repeats"),
                 F.round(F.coalesce(F.col("used_tokens") / F.col("mix_tokens"), F.lit(0.0)), 6).alias("actual_share"))
     )
 

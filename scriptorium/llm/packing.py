@@ -49,11 +49,17 @@ def fill(sizes: Sizes, first: int, capacity: int) -> dict[int, int]:
         if not s:
             break
         best, best_rest = (s,), gap - s
-        if best_rest:  # a single item leaves room: would two leave less?
-            i = bisect_right(sizes.order, gap)
-            for a in sizes.order[max(0, i - 200) : i]:
-                b = sizes.largest(gap - a)
-                if b and used(a) > 0 and used(b) > (a == b) and gap - a - b < best_rest:
+        if best_rest:  # a single item leaves room: would two leave less? The larger is over half of them
+            for k in range(bisect_right(sizes.order, gap) - 1, -1, -1):
+                a = sizes.order[k]
+                if 2 * a <= gap - best_rest:
+                    break
+                if used(a) <= 0:
+                    continue
+                b = sizes.largest(min(gap - a, a))
+                while b and used(b) <= (a == b):
+                    b = sizes.largest(b - 1)
+                if b and gap - a - b < best_rest:
                     best, best_rest = (a, b), gap - a - b
                     if not best_rest:
                         break

@@ -39,6 +39,11 @@ def _aliases(spark: SparkSession, d: str) -> DataFrame:
     return languages.learned_aliases(counts.select("lang_row_id", together.alias("values")), table(spark, d, "canonical_languages"))
 
 
+@query("p9_classes")
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalike.look_alike_classes(table(spark, d, "documents"))
+
+
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     canonical = table(spark, d, "canonical_languages")
@@ -94,7 +99,7 @@ def p8_mixed(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_shares")
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     counted, targets = mixing.counted_once(_counted(spark, d)), table(spark, d, "mix_targets")
-    return mixing.shares(mixing.mix(counted, targets), mixing.budgets(counted, targets).select("mix_name", "source", "target_share"))
+    return mixing.shares(mixing.mix(counted, targets), mixing.budgets(counted, targets).select("mix_name", "source", "target_share", "budget"))
 
 
 @query("p4_found")

@@ -35,6 +35,13 @@ def test_hot_class_equals_brute_force(spark):
     assert sorted(pairs(spark, texts, per_slice=5)) == want
 
 
+def test_classes_hold_what_the_pairs_say(spark):
+    texts = ["Sol"] * 40 + ["Ѕol", "Sоl", "Luna", "Luna", None, ""]
+    df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, SCHEMA)
+    assert values(lookalike.look_alike_classes(df).select("n_docs", "n_texts", "first_id")) == [(42, 3, 0)]
+    assert lookalike.look_alike_classes(df.limit(0)).count() == 0
+
+
 def test_canonical_form(spark):
     df = spark.createDataFrame([(1, "ѕоl λόγος вода"), (2, "sol λόγος вода"), (3, None), (4, "")], "doc_id bigint, text string")
     got = {r.doc_id: r.canonical_text for r in lookalike.canonical_texts(df).collect()}

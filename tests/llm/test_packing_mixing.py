@@ -24,6 +24,21 @@ def test_plan_places_every_item_once(histogram, capacities):
     assert room <= 2 * sum(s * n for s, n in histogram.items()) + max(capacities)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 900), st.integers(1, 3), min_size=1, max_size=300), st.integers(1, 1000))
+def test_last_pair_leaves_the_least_room(histogram, gap):
+    """The pair is the best of all, however many sizes there are."""
+    pattern = packing.fill(packing.Sizes({**histogram, 2000: 1}), 2000, 2000 + gap)
+    picked = sorted((s for s, k in pattern.items() for _ in range(k)), reverse=True)[1:]
+    sizes = sorted(s for s in histogram if s <= gap)
+    if not sizes:
+        assert picked == []
+        return
+    one = sizes[-1]
+    two = max((a + b for a in sizes for b in sizes if a + b <= gap and (a != b or histogram[a] > 1)), default=0)
+    assert sum(picked) >= max(one, two)
+
+
 def test_packing(spark):
     rows = [(1, 700), (2, 300), (3, 212), (4, 512), (5, 0), (6, None), (7, 1500), (8, 300), (8, 300)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, tokens int, capacity string")
@@ -69,8 +84,9 @@ def test_mix(spark, records):
     t = spark.createDataFrame([("m", "big", 0.5, 2), ("m", "small", 0.5, 3), ("n", "big", 0.9, 1), ("n", "gone", 0.1, 4)], "mix_name string, source string, target_share double, max_repeats int")
     out = mixing.mix(records, t)
     goals = mixing.budgets(records, t)
-    s = {(r.mix_name, r.source): r for r in mixing.shares(out, goals.select("mix_name", "source", "target_share")).collect()}
+    s = {(r.mix_name, r.source): r for r in mixing.shares(out, goals.select("mix_name", "source", "target_share", "budget")).collect()}
     assert s["m", "small"].used_tokens == 600 and s["m", "big"].used_tokens == 600 and s["m", "small"].most_repeats == 3
+    assert all(r.over_budget == r.used_tokens - r.budget for r in s.values()) and s["m", "big"].over_budget == 0
     assert s["n", "gone"].used_tokens == 0 and s["n", "big"].actual_share == 1.0
     assert out.groupBy("mix_name", "doc_id").count().where("count > 1").count() == 0
     assert values(mixing.mix(records, t).select("mix_name", "doc_id", "repeats")) == values(out.select("mix_name", "doc_id", "repeats"))
