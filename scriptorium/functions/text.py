@@ -99,6 +99,14 @@ def significant_words(text: Column, longer_than: int = 2) -> Column:
     return F.array_distinct(F.filter(F.split(F.trim(clean), r"\s+"), lambda w: F.length(w) > longer_than))
 
 
+def stems(text: Column) -> Column:
+    """The first four letters of each word of over two letters, the same ones numbered (merc 1, merc 2), so
+    that words that stem_match takes for one another share an entry; [] for null."""
+    clean = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\w\s]", "")
+    words = F.array_sort(F.transform(F.filter(F.split(F.trim(clean), r"\s+"), lambda w: F.length(w) > 2), lambda w: F.substring(w, 1, 4)))
+    return F.transform(words, lambda w, i: F.concat(w, F.lit(" "), (i - F.array_position(words, w) + 2).cast("string")))
+
+
 def word_jaccard(a: Column, b: Column) -> Column:
     """Shared words against all words in percent, halves up; 0 if either side has none."""
     x, y = significant_words(a), significant_words(b)

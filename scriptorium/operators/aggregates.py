@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranking import order_statistics
+
 
 def count_where(df: DataFrame, **tests: Column) -> DataFrame:
     """Many counts of one table in one scan; 0 where nothing matches, null tests count as false."""
@@ -40,13 +41,18 @@ def usage_by(df: DataFrame, dims: list[Column], cost: Column, failed: Column, **
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
     """The value at place floor(n * share) of each group's values in order, from 0 and at most the last.
-    Ranks are taken by a window over (keys, value, count), not by gathering values in a list: equal
-    values are counted first, so a large group of few distinct values stays small."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
-    w = W.partitionBy(*keys).orderBy(value)
-    placed = counts.withColumn("__to", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(W.partitionBy(*keys)))
-    pick = lambda s: F.min(F.when(F.col("__to") > F.least(F.floor(F.col("__n") * s), F.col("__n") - 1), F.col(value)))
-    return placed.groupBy(*keys).agg(*[pick(s).alias(n) for n, s in shares.items()])
+    Exact for groups of any size (see order_statistics)."""
+    n = F.col("__n")
+    return order_statistics(df, keys, value, {name: F.least(F.floor(n * s), n - 1) for name, s in shares.items()}).drop("__n")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Percentiles of each group, linear between the two nearest values. Exact for groups of any size."""
+    at = lambda s: (F.col("__n") - 1) * F.lit(s)
+    low, high = {f"__lo_{n}": F.floor(at(s)) for n, s in shares.items()}, {f"__hi_{n}": F.ceil(at(s)) for n, s in shares.items()}
+    found = order_statistics(df, keys, value, low | high)
+    between = lambda n, s: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (at(s) - F.floor(at(s)))
+    return found.select(*keys, *[between(n, s).alias(n) for n, s in shares.items()])
 
 
 def inverted_index(df: DataFrame, term: str, place: str) -> DataFrame:

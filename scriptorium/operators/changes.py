@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranking import run_rank
+
 
 def set_fields(df: DataFrame, when: Column, **values: Column) -> DataFrame:
     """New values where the condition holds; a double underscore in a name reaches into a struct. Rows where
@@ -75,14 +76,14 @@ def split_pages(pages: DataFrame, splits: DataFrame, overlap: int = 10) -> DataF
         F.array(half("left", F.lit(0), F.least(at + overlap, F.lit(1000)).cast("int"), 0.0), half("right", F.greatest(at - overlap, F.lit(0)).cast("int"), F.lit(1000), 0.5))
     )
     each = joined.withColumn("__s", F.explode(sides)).select(*pages.columns, "__s.side", "__s.x_start", "__s.x_end", (F.col("page_number") + F.col("__s.plus")).alias("__order"))
-    return each.withColumn("number", F.row_number().over(W.partitionBy("book_id").orderBy("__order", "id"))).drop("__order")
+    return run_rank(each, "book_id", "__order", "id", name="number").drop("__order")
 
 
 def reset_splits(pages: DataFrame) -> DataFrame:
     """Without the right halves; left halves are whole again; numbered anew. Undoes split_pages."""
     kept = pages.where(F.col("side") != "right").withColumn("side", F.lit("whole"))
     kept = kept.withColumns({"x_start": F.lit(None).cast("int"), "x_end": F.lit(None).cast("int")})
-    return kept.withColumn("number", F.row_number().over(W.partitionBy("book_id").orderBy("page_number", "id")))
+    return run_rank(kept.drop("number"), "book_id", "page_number", "id", name="number")
 
 
 def snapshots(before: DataFrame, changed: DataFrame, key: str, field: str) -> DataFrame:

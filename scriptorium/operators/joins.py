@@ -77,14 +77,18 @@ def in_range(points: DataFrame, ranges: DataFrame, point: str, low: str, high: s
     return p.join(r, "__bin").where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("__bin")
 
 
-def token_blocked(left: DataFrame, right: DataFrame, left_tokens: str, right_tokens: str, least_shared: int = 1, max_share: float = 0.05) -> DataFrame:
-    """Candidate pairs for a fuzzy match: rows that share at least so many tokens (array columns) that
-    occur in at most max_share of the right rows. The result has all columns of both sides (names must
-    differ) and `shared`."""
-    lid, rid = left.withColumn("__l", F.monotonically_increasing_id()), right.withColumn("__r", F.monotonically_increasing_id())
-    lt = lid.select("__l", F.explode(F.array_distinct(left_tokens)).alias("__t"))
-    rt = rid.select("__r", F.explode(F.array_distinct(right_tokens)).alias("__t"))
-    total = right.select(F.count(F.lit(1)).alias("__n"))
-    rare = rt.groupBy("__t").agg(F.count(F.lit(1)).alias("__df")).crossJoin(F.broadcast(total)).where(F.col("__df") <= F.greatest(F.lit(1.0), F.col("__n") * max_share)).select("__t")
-    pairs = lt.join(rt.join(rare, "__t"), "__t").groupBy("__l", "__r").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least_shared)
+def pair_blocked(left: DataFrame, right: DataFrame, left_tokens: str, right_tokens: str, left_short: str, right_short: str) -> DataFrame:
+    """Candidate pairs for a fuzzy match: rows that share two tokens (array columns of distinct tokens), and
+    rows that share one if both are short (boolean columns). All such pairs, however frequent a token is:
+    the key is a pair of tokens, which few rows share where single tokens are common. The result has all
+    columns of both sides (names must differ); null and empty arrays find nothing."""
+
+    def keyed(df: DataFrame, unique_id: str, tokens: str, short: str) -> DataFrame:
+        t = F.array_sort(F.array_distinct(F.coalesce(tokens, F.array().cast("array<string>"))))
+        two = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.size(t)), lambda y: F.xxhash64(x, y))))
+        one = F.when(F.coalesce(short, F.lit(False)), F.transform(t, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+        return df.select(unique_id, F.explode(F.concat(two, one)).alias("__key"))
+
+    lid, rid = left.withColumn("__l", F.xxhash64(*left.columns)), right.withColumn("__r", F.xxhash64(*right.columns))
+    pairs = keyed(lid, "__l", left_tokens, left_short).join(keyed(rid, "__r", right_tokens, right_short), "__key").select("__l", "__r").distinct()
     return pairs.join(lid, "__l").join(rid, "__r").drop("__l", "__r")

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ranking import run_rank
+
 
 def latest_version(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per group: the first by the given order. The limit is applied before the shuffle too."""
     return df.withColumn("__rn", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
 
 
-def renumber(df: DataFrame, group: str, *order: Column | str, name: str = "number") -> DataFrame:
-    """Numbers 1..n in each group, without gaps."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order)))
+def renumber(df: DataFrame, group: str, number: str, tie: str, name: str = "number") -> DataFrame:
+    """Numbers 1..n in each group, without gaps, in the order of a number; groups of any size."""
+    return run_rank(df, group, number, tie, name=name)
 
 
 def best_per_group(df: DataFrame, group: str, score: Column, tie: str, k: int) -> DataFrame:
@@ -24,16 +26,19 @@ def best_per_group(df: DataFrame, group: str, score: Column, tie: str, k: int) -
     return latest_version(scored, [group], F.desc_nulls_last("__score"), F.asc(tie)).orderBy(F.desc_nulls_last("__score"), tie).limit(k).drop("__score")
 
 
-def interleave(df: DataFrame, group: str, *order: Column | str, name: str = "turn") -> DataFrame:
-    """Round robin over the groups, the largest first: adds turn (the row's place in its group) and
-    group_size; sort by turn, group_size descending, group."""
-    w = W.partitionBy(group)
-    return df.withColumn(name, F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count(F.lit(1)).over(w))
+def interleave(df: DataFrame, group: str, *order: Column | str, first: int, name: str = "turn") -> DataFrame:
+    """Round robin over the groups, the largest first: the rows of the first `first` turns, with turn (the
+    row's place in its group) and group_size; sort by turn, group_size descending, group. Each group sends
+    so many rows at most from each partition, and its size comes from a count, so no group is gathered."""
+    top = df.withColumn(name, F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col(name) <= first)
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("group_size"))
+    return top.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
-def chunks(df: DataFrame, group: str, size: int, *order: Column | str, name: str = "chunk") -> DataFrame:
-    """Chunk numbers from 0, each of at most `size` rows of a group in order."""
-    return df.withColumn(name, F.floor((F.row_number().over(W.partitionBy(group).orderBy(*order)) - 1) / size).cast("int"))
+def chunks(df: DataFrame, group: str, size: int, number: str, tie: str, name: str = "chunk") -> DataFrame:
+    """Chunk numbers from 0, each of at most `size` rows of a group in the order of a number; groups of any
+    size."""
+    return run_rank(df, group, number, tie, name=name).withColumn(name, F.floor((F.col(name) - 1) / size).cast("int"))
 
 
 def greedy_batches(df: DataFrame, group: str, order: list[str], size: Column, budget: int) -> DataFrame:

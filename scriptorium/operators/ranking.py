@@ -61,6 +61,60 @@ def split_running_sum(df: DataFrame, keys: list[str], position: Column, unique_i
     )
 
 
+def run_rank(df: DataFrame, group: str, number: str, unique_id: str, span: int = 64, name: str = "rank") -> DataFrame:
+    """Numbers the rows of each group from 1, by a numeric column and then unique_id.
+
+    A group may hold any share of all rows: it is cut into runs of `span` numbers, each is numbered by
+    itself, and the counts of the runs before it are added. A null number comes first.
+    """
+    runs = df.withColumn("__run", F.coalesce(F.floor(F.col(number) / span), F.lit(-(1 << 62))))
+    counts = runs.groupBy(group, "__run").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(group).orderBy("__run").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select(F.col(group).alias("__g"), F.col("__run").alias("__r"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(W.partitionBy(group, "__run").orderBy(F.asc_nulls_first(number), unique_id))
+    joined = runs.withColumn("__within", within).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__run") == F.col("__r")))
+    return joined.withColumn(name, (F.col("__within") + F.col("__before")).cast("int")).drop("__run", "__within", "__before", "__g", "__r")
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], slices: int = 64) -> DataFrame:
+    """(keys, __n, names): the values at given places (from 0) of each group's values in order; places are
+    expressions of __n, the number of values.
+
+    Exact, and no group is gathered: a sketch cuts each group into slices of about equal size, the slices
+    are counted, and only the values of the slices that hold a place are ranked. Null values are left
+    out; a group without values has no row.
+    """
+    named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    vals = df.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("__v"))
+    ks = [f"__k{i}" for i in range(len(keys))]
+    other = lambda d, tag: d.select(*[F.col(k).alias(f"{tag}{k}") for k in ks], *[c for c in d.columns if c not in ks])
+
+    def same(tag: str) -> Column:
+        on = F.lit(True)
+        for k in ks:
+            on = on & F.col(k).eqNullSafe(F.col(f"{tag}{k}"))
+        return on
+
+    cuts = vals.groupBy(*ks).agg(F.percentile_approx("__v", [i / slices for i in range(1, slices)], 1000).alias("__cuts"))
+    # how many cuts are below the value: its place among them. (A lambda over the value would enter the
+    # optimizer's inferred filters on the other side of the join below, where the value isn't.)
+    place = F.array_position(F.sort_array(F.array_append("__cuts", F.col("__v"))), F.col("__v"))
+    sliced = vals.join(other(cuts, "c"), same("c")).select(*ks, "__v", place.alias("__s"))
+    values = sliced.groupBy(*ks, "__s", "__v").agg(F.count(F.lit(1)).alias("__c"))
+    w = W.partitionBy(*ks)
+    sizes = sliced.groupBy(*ks, "__s").agg(F.count(F.lit(1)).alias("__c"))
+    spans = sizes.withColumn("__to", F.sum("__c").over(w.orderBy("__s").rowsBetween(W.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.cast("long").alias("at")) for n, c in places.items()])).alias("__a")
+    at, upto = F.col("__a.at"), F.col("__to")
+    wanted = spans.select(*ks, F.col("__s").alias("__ws"), "__n", "__to", (upto - F.col("__c")).alias("__before"), asked).where((at >= F.col("__before")) & (at < upto))
+    wanted = wanted.select(*ks, "__ws", "__n", "__before", F.col("__a.name").alias("__name"), at.alias("__at"))
+    inner = values.join(other(wanted, "w"), same("w") & (F.col("__s") == F.col("__ws")))
+    ranked = inner.withColumn("__upto", F.col("__before") + F.sum("__c").over(W.partitionBy(*ks, "__s", "__name").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)))
+    hit = ranked.where((F.col("__at") < F.col("__upto")) & (F.col("__at") >= F.col("__upto") - F.col("__c")))
+    out = hit.groupBy(*ks).agg(F.max("__n").alias("__n"), *[F.max(F.when(F.col("__name") == n, F.col("__v"))).alias(n) for n in places])
+    return out.select(*[F.col(k).alias(name) for k, name in zip(ks, keys)], "__n", *places)
+
+
 def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
     """The row of each key with the greatest version; rows with a null key are dropped.
 

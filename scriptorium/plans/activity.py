@@ -210,9 +210,9 @@ def semi_join(spark, d):
     return joins.semi(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
+@query("anti_join", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
 def anti_join(spark, d):
-    return joins.anti(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
+    return joins.anti(table(spark, d, "orders").select("o_orderkey"), table(spark, d, "lineitem").select("l_orderkey"), "o_orderkey", "l_orderkey")
 
 
 @query("mark_join", "SELECT p_partkey, p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 49) AS sold FROM part")

@@ -17,7 +17,7 @@ from scriptorium.functions import ids, markup, stats, text
 from scriptorium.operators import aggregates as A
 from scriptorium.operators import filters, joins, nested, ordered
 from scriptorium.operators.ranking import latest_rows
-from scriptorium.session import table
+from scriptorium.session import small, table
 
 
 def clamp(limit: int, most: int) -> int:
@@ -39,10 +39,16 @@ class Library:
     def books(self) -> DataFrame:
         return table(self.spark, self.folder, "books")
 
-    def pages(self, *columns: Column | str) -> DataFrame:
-        """The latest state of each page with the asked columns."""
-        narrow = table(self.spark, self.folder, "pages").select("id", "book_id", "page_number", "updated_at", *columns)
-        return latest_rows(narrow, "id", "updated_at").drop("updated_at")
+    def pages(self, *columns: Column | str, book_id: str | None = None) -> DataFrame:
+        """The latest state of each page with the asked columns. Of one book, only pages that have a state in
+        it are looked at; a page that has moved to another book since isn't one of its pages."""
+        raw = table(self.spark, self.folder, "pages")
+        narrow = raw.select("id", "book_id", "page_number", "updated_at", *columns)
+        if book_id is None:
+            return latest_rows(narrow, "id", "updated_at").drop("updated_at")
+        ids = small(raw.where(F.col("book_id") == book_id).select(F.col("id").alias("__id")).distinct(), 100_000)
+        own = narrow.join(ids, F.col("id") == F.col("__id"), "left_semi")
+        return latest_rows(own, "id", "updated_at").drop("updated_at").where(F.col("book_id") == book_id)
 
     # -- search
 
@@ -101,7 +107,7 @@ class Library:
 
     def in_book(self, book_id: str, q: str) -> dict[str, DataFrame]:
         """Pages of one book with any word of the query, with marked snippets, and counts by field."""
-        p = self.pages(F.col("ocr.data").alias("ocr"), F.col("translation.data").alias("translation")).where(F.col("book_id") == book_id)
+        p = self.pages(F.col("ocr.data").alias("ocr"), F.col("translation.data").alias("translation"), book_id=book_id)
         p = p.withColumns({"in_ocr": filters.any_word_in("ocr", q), "in_translation": filters.any_word_in("translation", q)}).where("in_ocr or in_translation")
         shown = p.orderBy("page_number", "id").limit(50)
         snip = text.highlighted_snippets(q)
@@ -112,7 +118,7 @@ class Library:
 
     def retrieve(self, book_id: str, question: str, limit: int = 15) -> DataFrame:
         """The pages of a book that hold the question's keywords most often; its first pages if none does."""
-        p = self.pages(F.coalesce(F.nullif("translation.data", F.lit("")), "ocr.data").alias("t")).where((F.col("book_id") == book_id) & filters.has_text("t"))
+        p = self.pages(F.coalesce(F.nullif("translation.data", F.lit("")), "ocr.data").alias("t"), book_id=book_id).where(filters.has_text("t"))
         score = text.keyword_score(F.col("t"), text.query_keywords(question))
         return p.withColumn("score", score).orderBy(F.desc("score"), "page_number", "id").limit(limit)
 
@@ -159,7 +165,7 @@ class Library:
     def post_images(self, n: int = 5, min_confidence: float = 0.7, exclude: DataFrame | None = None) -> DataFrame:
         """The best images for a series, of which no two are from one book. exclude: (page_id, image_index)
         of images used of late."""
-        j = self.gallery(min_confidence=min_confidence, limit=200)["items"] if exclude is None else nested.unwind(self.pages("detected_images"), "detected_images", "img", index="image_index").select("id", "book_id", "image_index", "img.*").where(F.col("confidence") >= min_confidence)
+        j = nested.unwind(self.pages("detected_images"), "detected_images", "img", index="image_index").select("id", "book_id", "image_index", "img.*").where(F.col("confidence") >= min_confidence)
         if exclude is not None:
             x = exclude.select(F.col("page_id").alias("__p"), F.col("image_index").alias("__i"))
             j = j.join(x, (F.col("id") == F.col("__p")) & (F.col("image_index") == F.col("__i")), "left_anti")
@@ -171,12 +177,12 @@ class Library:
 
     def book(self, book_id: str) -> dict[str, DataFrame]:
         """A book and its pages without their texts."""
-        heavy = self.pages("photo", "manually_reviewed", filters.has_text("ocr.data").alias("has_ocr"), filters.has_text("translation.data").alias("has_translation"))
-        return {"book": self.books().where(F.col("id") == book_id), "pages": heavy.where(F.col("book_id") == book_id).orderBy("page_number", "id")}
+        heavy = self.pages("photo", "manually_reviewed", filters.has_text("ocr.data").alias("has_ocr"), filters.has_text("translation.data").alias("has_translation"), book_id=book_id)
+        return {"book": self.books().where(F.col("id") == book_id), "pages": heavy.orderBy("page_number", "id")}
 
     def quote(self, book_id: str, page: int = 1, original: bool = True, context: bool = False, translator: str = "the library", year: int = 2025) -> DataFrame:
         """A page's text with citations and its short link, and the pages before and after."""
-        p = self.pages(F.col("translation.data").alias("translation"), F.col("ocr.data").alias("original")).where(F.col("book_id") == book_id)
+        p = self.pages(F.col("translation.data").alias("translation"), F.col("ocr.data").alias("original"), book_id=book_id)
         p = joins.neighbours(p, "book_id", "page_number", "translation") if context else p
         one = joins.lookup_one(p.where(F.col("page_number") == page), self.books(), "book_id", "id", "b_", required=True)
         cite = ids.citations(F.col("b_author"), F.coalesce("b_display_title", "b_title"), F.col("b_published"), F.col("b_doi"), F.col("page_number"), translator, year)
@@ -186,9 +192,9 @@ class Library:
     def chapters(self, book_id: str) -> DataFrame:
         """Headings of a book's pages in order, with the section that each opens: short sections (under three
         pages) belong to the one before, unless they are the first."""
-        p = self.pages(F.explode(markup.headings(F.col("ocr.data"))).alias("h")).where(F.col("book_id") == book_id).select("book_id", "page_number", "h.level", "h.title")
+        p = self.pages(markup.headings(F.col("ocr.data")).alias("hs"), book_id=book_id).select("book_id", "page_number", F.explode("hs").alias("h")).select("book_id", "page_number", "h.level", "h.title")
         starts = p.groupBy("book_id", "page_number").agg(F.min_by(F.struct("level", "title"), "level").alias("h")).select("book_id", F.col("page_number").cast("int").alias("start"), "h.*")
-        last = self.pages().where(F.col("book_id") == book_id).agg(F.max("page_number").cast("int").alias("last_page"))
+        last = self.pages(book_id=book_id).agg(F.max("page_number").cast("int").alias("last_page"))
         s = ordered.sections(starts.crossJoin(F.broadcast(last)), "book_id", "start", F.col("last_page"))
         w = W.partitionBy("book_id").orderBy("start")
         opens = (F.col("section_end") - F.col("start") + 1 >= 3) | (F.row_number().over(w) == 1) | F.lead("start").over(w).isNull()
@@ -199,14 +205,14 @@ class Library:
 
     def index(self, book_id: str, tag: str = "keywords", field: str = "translation") -> DataFrame:
         """(term, kind, places, n_places) of a book's tagged terms."""
-        p = self.pages(F.explode(markup.terms(F.col(f"{field}.data"), tag)).alias("term")).where(F.col("book_id") == book_id)
+        p = self.pages(markup.terms(F.col(f"{field}.data"), tag).alias("terms"), book_id=book_id).select("page_number", F.explode("terms").alias("term"))
         i = A.inverted_index(p.select("term", F.col("page_number").cast("int").alias("page")), "term", "page")
         return i.withColumn("kind", markup.term_kind(F.col("term"))).orderBy(F.desc("n_places"), "term")
 
     def entities(self, tag: str = "keywords", kind: str | None = None, q: str | None = None, min_books: int = 1, limit: int = 50, offset: int = 0) -> DataFrame:
         """Terms over all books by lower-case name and kind: the casing seen first, books, mentions. Each page
         of a book counts once."""
-        p = self.pages(F.explode(markup.terms(F.col("translation.data"), tag)).alias("term"))
+        p = self.pages(markup.terms(F.col("translation.data"), tag).alias("terms")).select("book_id", "page_number", F.explode("terms").alias("term"))
         t = p.select("book_id", "page_number", "term", markup.term_kind(F.col("term")).alias("kind"), F.lower("term").alias("name")).dropDuplicates(["kind", "name", "book_id", "page_number"])
         e = t.groupBy("kind", "name").agg(F.min_by("term", F.struct("book_id", "page_number")).alias("label"), F.count_distinct("book_id").alias("book_count"), F.count(F.lit(1)).alias("total_mentions"))
         e = e.where(F.col("book_count") >= min_books)
@@ -218,7 +224,7 @@ class Library:
 
     def related(self, name: str, tag: str = "keywords", k: int = 10) -> DataFrame:
         """The entities that share most books with one."""
-        p = self.pages(F.explode(markup.terms(F.col("translation.data"), tag)).alias("term")).select(F.lower("term").alias("name"), "book_id")
+        p = self.pages(markup.terms(F.col("translation.data"), tag).alias("terms")).select("book_id", F.explode("terms").alias("term")).select(F.lower("term").alias("name"), "book_id")
         return joins.co_occurring(p, "name", "book_id", name.lower(), k)
 
     # -- quality and usage

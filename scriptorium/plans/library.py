@@ -151,8 +151,9 @@ _SNIP = """CASE WHEN strpos(lower(t),'mercury')>0 THEN
     f"""SELECT id, book_id, {_SNIP} AS snippet FROM (SELECT id, book_id, coalesce(translation.data,'') AS t FROM {PAGES}) WHERE lower(t) LIKE '%mercury%'""",
 )
 def search_pages(spark, d):
-    p = pages_of(spark, d, F.coalesce("translation.data", F.lit("")).alias("t")).where(filters.contains_ci("t", "mercury"))
-    return p.select("id", "book_id", text.snippet(F.col("t"), "mercury").alias("snippet"))
+    t = F.coalesce("translation.data", F.lit(""))
+    p = pages_of(spark, d, F.when(filters.contains_ci(t, "mercury"), text.snippet(t, "mercury")).alias("snippet"))
+    return p.where("snippet is not null").select("id", "book_id", "snippet")
 
 
 @query(
@@ -164,7 +165,7 @@ def search_pages(spark, d):
 def search_union(spark, d):
     b = books_of(spark, d)
     hits = b.where(filters.contains_ci("title", "gold")).select("id", F.col("id").alias("book_id"), F.col("title").alias("label"))
-    p = pages_of(spark, d, F.col("translation.data").alias("t")).where(filters.contains_ci("t", "golden metal")).select("id", "book_id")
+    p = pages_of(spark, d, filters.contains_ci("translation.data", "golden metal").alias("hit")).where("hit").select("id", "book_id")
     on_pages = joins.lookup_one(p, b.select("id", "title"), "book_id", "id", "b_", required=True).select("id", "book_id", F.col("b_title").alias("label"))
     both = nested.union_tagged({"book": hits, "page": on_pages})
     return both.orderBy(F.when(F.col("type") == "book", 0).otherwise(1), "id").limit(100)
@@ -207,8 +208,8 @@ def keyword_score(spark, d):
 
 @query("page_search_snippets")
 def page_search_snippets(spark, d):
-    p = pages_of(spark, d, F.col("translation.data").alias("t")).where(filters.any_word_in("t", "river bird"))
-    hits = p.select("id", "book_id", F.explode(text.highlighted_snippets("river bird")("t")).alias("s"))
+    t = F.when(filters.any_word_in("translation.data", "river bird"), F.col("translation.data"))
+    hits = pages_of(spark, d, text.highlighted_snippets("river bird")(t).alias("found")).select("id", "book_id", F.explode("found").alias("s"))
     return hits.select("id", "book_id", "s.position", "s.snippet")
 
 
@@ -217,7 +218,7 @@ def page_search_snippets(spark, d):
     f"""SELECT book_id, count(*) AS n FROM {PAGES} WHERE regexp_matches(coalesce(ocr.data,''), '(?i)<image-desc>|\\[\\[image:') GROUP BY book_id""",
 )
 def pages_with_image(spark, d):
-    return pages_of(spark, d, F.col("ocr.data").alias("t")).where(filters.matches_ci("t", r"<image-desc>|\[\[image:")).groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    return pages_of(spark, d, filters.matches_ci("ocr.data", r"<image-desc>|\[\[image:").alias("hit")).where("hit").groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -270,8 +271,8 @@ def best_image_per_book(spark, d):
     f"""SELECT p.id, b.title FROM {PAGES} p JOIN books b ON b.id=p.book_id WHERE regexp_matches(coalesce(p.ocr.data,''), '(?i)<image-desc>') AND len(coalesce(p.detected_images, []))=0 AND p.manually_skipped IS DISTINCT FROM true""",
 )
 def detection_queue(spark, d):
-    p = pages_of(spark, d, F.col("ocr.data").alias("t"), filters.non_empty("detected_images").alias("has"), "manually_skipped")
-    p = p.where(filters.matches_ci("t", "<image-desc>") & ~F.col("has") & filters.differs("manually_skipped", True))
+    p = pages_of(spark, d, filters.matches_ci("ocr.data", "<image-desc>").alias("hit"), filters.non_empty("detected_images").alias("has"), "manually_skipped")
+    p = p.where(F.col("hit") & ~F.col("has") & filters.differs("manually_skipped", True))
     return joins.lookup_one(p.select("id", "book_id"), books_of(spark, d).select("id", "title"), "book_id", "id", "b_", required=True).select("id", F.col("b_title").alias("title"))
 
 
@@ -401,7 +402,7 @@ def text_batches(spark, d):
 def interleaved_plan(spark, d):
     p = pages_of(spark, d, filters.is_blank("ocr.data").alias("x")).where("x").select("id", "book_id")
     n = joins.lookup_one(p, books_of(spark, d).select("id", "language"), "book_id", "id", "b_", required=True).select("id", F.coalesce("b_language", F.lit("")).alias("lang"))
-    return ordered.interleave(n, "lang", "id").orderBy("turn", F.desc("group_size"), "lang").limit(100)
+    return ordered.interleave(n, "lang", "id", first=100).orderBy("turn", F.desc("group_size"), "lang").limit(100)
 
 
 @query(
@@ -454,14 +455,24 @@ def page_summaries_or_opening(spark, d):
     return pages_of(spark, d, markup.page_summary(F.col("translation.data"), F.col("summary.data")).alias("summary")).where("summary is not null").select("id", "summary")
 
 
+def _nested(sql: str, steps: list[tuple[str, str]]) -> str:
+    """SQL of regular replacements, one after the other."""
+    for pattern, new in steps:
+        sql = f"regexp_replace({sql}, '{pattern}', '{new}', 'g')"
+    return sql
+
+
+_BRACKET = [(rf"(?is)\[\[{old}:\s*(.*?)\]\]", f"<{new}>\\1</{new}>") for old, new in markup.RENAMED]
+
+
 @query(
     "migrated_markup",
-    f"""SELECT id, regexp_replace(t, '(?is)\\[\\[unclear:\\s*(.*?)\\]\\]', '<unclear>\\1</unclear>', 'g') AS migrated, CAST(len(regexp_extract_all(t, '(?is)\\[\\[unclear:\\s*(.*?)\\]\\]')) AS INT) AS n FROM
-        (SELECT id, ocr.data AS t FROM {PAGES}) WHERE t LIKE '%[[unclear:%' AND t NOT LIKE '%[[meta:%' AND t NOT LIKE '%[[note%'""",
+    f"""SELECT id, {_nested("t", _BRACKET)} AS migrated, CAST({" + ".join(f"len(regexp_extract_all(t, '{p}'))" for p, _ in _BRACKET)} AS INT) AS n FROM (SELECT id, ocr.data AS t FROM {PAGES}) WHERE t IS NOT NULL""",
 )
 def migrated_markup(spark, d):
-    p = pages_of(spark, d, F.col("ocr.data").alias("t")).where(F.col("t").contains("[[unclear:") & ~F.col("t").contains("[[meta:") & ~F.col("t").contains("[[note"))
-    return p.select("id", markup.migrate(F.col("t")).alias("migrated"), markup.migration_count(F.col("t")).cast("int").alias("n"))
+    t = F.col("ocr.data")
+    p = pages_of(spark, d, markup.migrate(t).alias("migrated"), markup.migration_count(t).cast("int").alias("n"))
+    return p.where("migrated is not null").select("id", "migrated", "n")
 
 
 @query("markup_faults")
@@ -610,8 +621,8 @@ def keyword_categories(spark, d):
 def metadata_matches(spark, d):
     b = books_of(spark, d).where("title is not null").select(F.col("id").alias("book_id"), F.col("title").alias("b_title"), F.col("author").alias("b_author"))
     e = table(spark, d, "external_catalog").where("title is not null").select("catalog_id", F.col("title").alias("c_title"), F.col("author").alias("c_author"))
-    toks = lambda df, c: df.withColumn(f"tok_{c[0]}", text.significant_words(F.col(c), 3))
-    pairs = joins.token_blocked(toks(b, "b_title"), toks(e, "c_title"), "tok_b", "tok_c", least_shared=1, max_share=0.02)
+    toks = lambda df, x: df.withColumns({f"tok_{x}": text.stems(F.concat_ws(" ", f"{x}_title", f"{x}_author")), f"short_{x}": F.size(text.stems(F.col(f"{x}_title"))) <= 2})
+    pairs = joins.pair_blocked(toks(b, "b"), toks(e, "c"), "tok_b", "tok_c", "short_b", "short_c")
     scored = pairs.withColumn("confidence", text.match_confidence("b_title", "b_author", "c_title", "c_author")).where("confidence > 40")
     w = W.partitionBy("book_id").orderBy(F.desc("confidence"), "catalog_id")
     return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("book_id", "catalog_id", "confidence", "rank")
@@ -622,8 +633,8 @@ def metadata_matches(spark, d):
     f"""WITH e AS (SELECT DISTINCT book_id, unnest(regexp_extract_all(coalesce(ocr.data,''), '([A-Z][a-z]+(?:ius|inus)) scribit', 1)) AS name FROM {PAGES}) SELECT lower(name) AS entity, count(DISTINCT book_id) AS n_books FROM e GROUP BY ALL""",
 )
 def entity_index(spark, d):
-    p = pages_of(spark, d, F.explode(F.regexp_extract_all(F.coalesce("ocr.data", F.lit("")), F.lit("([A-Z][a-z]+(?:ius|inus)) scribit"), F.lit(1))).alias("name"))
-    return p.groupBy(F.lower("name").alias("entity")).agg(F.count_distinct("book_id").alias("n_books"))
+    p = pages_of(spark, d, F.regexp_extract_all(F.coalesce("ocr.data", F.lit("")), F.lit("([A-Z][a-z]+(?:ius|inus)) scribit"), F.lit(1)).alias("names"))
+    return p.select("book_id", F.explode("names").alias("name")).groupBy(F.lower("name").alias("entity")).agg(F.count_distinct("book_id").alias("n_books"))
 
 
 @query(
@@ -648,10 +659,14 @@ def title_pages(spark, d):
     return entities.title_page(pages_of(spark, d, F.col("ocr.data").alias("text")), books_of(spark, d))
 
 
-@query("entity_roll_up")
+@query(
+    "entity_roll_up",
+    f"""WITH m AS (SELECT book_id, page_number, unnest(regexp_extract_all(coalesce(ocr.data,''), '([A-Z][a-z]+) scribit', 1)) AS term FROM {PAGES}), b AS (SELECT lower(term) AS name, book_id, count(DISTINCT page_number) AS n FROM m GROUP BY ALL)
+        SELECT 'person' AS kind, name, (SELECT arg_min(term, (book_id, page_number, term)) FROM m WHERE lower(term) = b.name) AS label, count(*) AS book_count, CAST(sum(n) AS BIGINT) AS total_mentions FROM b GROUP BY name""",
+)
 def entity_roll_up(spark, d):
-    p = pages_of(spark, d, F.explode(F.regexp_extract_all(F.coalesce("ocr.data", F.lit("")), F.lit("([A-Z][a-z]+) scribit"), F.lit(1))).alias("term"))
-    e = entities.rolled_up(p.select(F.lit("person").alias("kind"), "term", "book_id", F.col("page_number").alias("page")))
+    p = pages_of(spark, d, F.regexp_extract_all(F.coalesce("ocr.data", F.lit("")), F.lit("([A-Z][a-z]+) scribit"), F.lit(1)).alias("terms"))
+    e = entities.rolled_up(p.select(F.lit("person").alias("kind"), F.explode("terms").alias("term"), "book_id", F.col("page_number").alias("page")))
     return entities.merge_entities(e, e).select("kind", "name", "label", "book_count", "total_mentions")
 
 
@@ -675,12 +690,12 @@ def page_images(spark, d):
 
 @query(
     "crop_addresses",
-    f"""SELECT count(*) AS n FROM (SELECT unnest(detected_images) AS img FROM {PAGES}) WHERE img.bbox IS NOT NULL""",
+    f"""SELECT id, i - 1 AS place, CASE WHEN img.bbox IS NULL THEN coalesce(photo,'') ELSE '/crop?url=' || replace(replace(url_encode(coalesce(photo,'')), '%20', '+'), '~', '%7E') || '&x=' || CAST(img.bbox.x AS VARCHAR) || '&y=' || CAST(img.bbox.y AS VARCHAR) || '&w=' || CAST(img.bbox.width AS VARCHAR) || '&h=' || CAST(img.bbox.height AS VARCHAR) END AS address
+        FROM (SELECT id, photo, unnest(generate_series(1, len(detected_images))) AS i, unnest(detected_images) AS img FROM {PAGES})""",
 )
 def crop_addresses(spark, d):
-    p = nested.unwind(pages_of(spark, d, "detected_images", "photo"), "detected_images", "img")
-    c = p.where("img.bbox is not null").withColumn("a", links.crop_address("/crop", F.coalesce("photo", F.lit("")), F.col("img.bbox")))
-    return A.count_where(c, n=F.col("a").startswith("/crop?url="))
+    p = nested.unwind(pages_of(spark, d, "detected_images", "photo"), "detected_images", "img", index="place")
+    return p.select("id", F.col("place").cast("bigint").alias("place"), links.crop_address("/crop", F.coalesce("photo", F.lit("")), F.col("img.bbox")).alias("address"))
 
 
 @query(
@@ -704,18 +719,20 @@ def next_pages_to_do(spark, d):
 
 @query(
     "titles_in_locale_order",
-    """SELECT id, CAST(row_number() OVER (ORDER BY title NULLS FIRST, id) AS INT) AS place FROM books WHERE regexp_matches(coalesce(title,''), '^[A-Z][a-z ]*$') ORDER BY place LIMIT 20""",
+    """SELECT id, CAST(row_number() OVER (ORDER BY title COLLATE en NULLS FIRST, id) AS INT) AS place FROM books ORDER BY place LIMIT 20""",
 )
 def titles_in_locale_order(spark, d):
-    b = books_of(spark, d).where(F.coalesce("title", F.lit("")).rlike("^[A-Z][a-z ]*$")).select("id", "title")
     order = [F.asc_nulls_first(F.collate("title", "UNICODE")), F.asc("id")]
-    return b.orderBy(*order).limit(20).withColumn("place", F.row_number().over(W.orderBy(*order))).select("id", "place")  # 20 rows
+    return books_of(spark, d).select("id", "title").orderBy(*order).limit(20).withColumn("place", F.row_number().over(W.orderBy(*order))).select("id", "place")  # 20 rows
 
 
-@query(
-    "reader_view",
-    f"""SELECT id, regexp_replace(ocr.data, '(?is)\\[\\[unclear:\\s*.*?\\]\\]', '', 'g') AS shown FROM {PAGES} WHERE ocr.data LIKE '%[[unclear:%' AND ocr.data NOT LIKE '%[[note%' AND ocr.data NOT LIKE '%->%'""",
-)
+_SHOWN = [(r"(?is)\[\[image:\s*.*?\]\]", "")]
+_SHOWN += [(p, "") for p, _ in _BRACKET if any(p.startswith(f"(?is)\\[\\[{n}") for n in ("notes?", "margin", "gloss", "insert", "unclear"))]
+_SHOWN += [(r"(?is)\[\[term:\s*(.*?)\]\]", r"<term>\1</term>")]
+_SHOWN += [(rf"(?m)(?:->\s*#{{{k}}}\s*([^\n]*?)\s*<-|^#{{{k}}}\s*->\s*([^\n]*?)\s*<-\s*$)", rf'<h{k} class="text-center">\1\2</h{k}>') for k in range(6, 0, -1)]
+_SHOWN += [(r"->\s*([^\n]*?)\s*<-", r"<center>\1</center>")]
+
+
+@query("reader_view", f"""SELECT id, {_nested("t", _SHOWN)} AS shown FROM (SELECT id, ocr.data AS t FROM {PAGES}) WHERE t IS NOT NULL""")
 def reader_view(spark, d):
-    p = pages_of(spark, d, F.col("ocr.data").alias("t")).where(F.col("t").contains("[[unclear:") & ~F.col("t").contains("[[note") & ~F.col("t").contains("->"))
-    return p.select("id", markup.shown(F.col("t"), with_notes=False).alias("shown"))
+    return pages_of(spark, d, markup.shown(F.col("ocr.data"), with_notes=False).alias("shown")).where("shown is not null").select("id", "shown")

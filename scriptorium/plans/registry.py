@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators import aggregates as A
 from scriptorium.plans import activity, library  # noqa: F401  (fill the registry)
 from scriptorium.plans.base import ORACLE, QUERIES, query  # noqa: F401
 from scriptorium.session import table
@@ -17,11 +18,11 @@ from scriptorium.session import table
 )
 def metric_stats(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    return e.groupBy("event_type").agg(
+    plain = e.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
         (F.floor(F.avg("value") * 100 + 0.5) / 100).alias("avg_value"),
         F.min("value").alias("min_value"),
         F.max("value").alias("max_value"),
-        F.percentile("value", F.lit(0.5)).alias("p50"),
-        F.percentile("value", F.lit(0.95)).alias("p95"),
     )
+    tails = A.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("event_type", "t")
+    return plain.join(tails, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")

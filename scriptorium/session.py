@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -61,13 +62,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, local runs)
-    a temporary folder is chosen, once per session.
+    The cluster names it in spark.checkpoint.dir. Only where all work is done on this machine (a local
+    master: tests, small runs) and it is unset, a temporary folder is chosen, once per session; a
+    cluster without the setting is an error, since other machines couldn't read such a folder.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     ours = spark.conf.get("spark.scriptorium.shared.dir", None)
     if not ours:
         ours = tempfile.mkdtemp(prefix="scriptorium-")
