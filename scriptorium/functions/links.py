@@ -48,3 +48,8 @@ def batch_name(name: Column) -> Column:
     """Struct (kind, book, at) of a batch's display name, kind-book-time; nulls where it has another form."""
     p = lambda i: F.nullif(F.regexp_extract(F.coalesce(name, F.lit("")), r"^(ocr|translate)-([^-]+)-(\d+)$", i), F.lit(""))
     return F.struct(p(1).alias("kind"), p(2).alias("book"), p(3).cast("bigint").alias("at"))
+
+
+def batch_state(state: Column) -> Column:
+    """A batch's state under the name that jobs use; pending for null and empty."""
+    return F.coalesce(F.nullif(F.replace(state, F.lit("BATCH_STATE_"), F.lit("JOB_STATE_")), F.lit("")), F.lit("JOB_STATE_PENDING"))

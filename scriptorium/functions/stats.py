@@ -40,24 +40,37 @@ def binomial_p(wins: Column, n: Column) -> Column:
 
 def elo(judgments: DataFrame, group: str, order: list[str], a: str = "condition_a", b: str = "condition_b", winner: str = "winner", k: float = 32.0, start: float = 1500.0) -> DataFrame:
     """(group, condition, rating, n): ratings after all judgments of a group in order. Each update needs the
-    one before, so a group, one experiment, is folded in one task; groups run side by side."""
+    one before, so a group, one experiment, is read in order; partitions are sorted and folded as they stream
+    by, with the ratings of the group's conditions as the state, so a group of any length needs no memory.
+    Judgments without a condition are left out; a null group is a group."""
+    from collections.abc import Iterator
+
     import pandas as pd
 
     kind = judgments.schema[group].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ratings: dict[str, float] = {}
-        seen: dict[str, int] = {}
-        for r in pdf.sort_values(order).itertuples(index=False):
-            x, y, won = getattr(r, a), getattr(r, b), getattr(r, winner)
-            rx, ry = ratings.setdefault(x, start), ratings.setdefault(y, start)
-            gain = {"a": 1.0, "b": 0.0}.get(won, 0.5) - 1 / (1 + 10 ** ((ry - rx) / 400))
-            ratings[x], ratings[y] = rx + k * gain, ry - k * gain
-            seen[x], seen[y] = seen.get(x, 0) + 1, seen.get(y, 0) + 1
-        return pd.DataFrame({group: pdf[group].iloc[0], "condition": list(ratings), "rating": list(ratings.values()), "n": [seen[c] for c in ratings]})
-
-    needed = judgments.select(group, *order, a, b, winner).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    return needed.groupBy(group).applyInPandas(fold, f"`{group}` {kind}, condition string, rating double, n int")
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+        now: object = fold  # no group yet
+        for batch in batches:
+            for g, x, y, won in zip(batch["__g"], batch[a], batch[b], batch[winner]):
+                if now is fold or not (g == now or (pd.isna(g) and pd.isna(now))):
+                    if state:
+                        yield rows(now, state)
+                    now, state = g, {}
+                one, two = state.setdefault(x, [start, 0]), state.setdefault(y, [start, 0])
+                gain = {"a": 1.0, "b": 0.0}.get(won, 0.5) - 1 / (1 + 10 ** ((two[0] - one[0]) / 400))
+                one[0], two[0] = one[0] + k * gain, two[0] - k * gain
+                one[1], two[1] = one[1] + 1, two[1] + 1
+        if state:
+            yield rows(now, state)
+
+    def rows(g, state: dict) -> pd.DataFrame:
+        return pd.DataFrame({group: [g] * len(state), "condition": list(state), "rating": [x for x, _ in state.values()], "n": [n for _, n in state.values()]})
+
+    needed = judgments.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(group).alias("__g"), *order, a, b, winner)
+    sorted_ = needed.repartition("__g").sortWithinPartitions("__g", *order)
+    return sorted_.mapInPandas(fold, f"`{group}` {kind}, condition string, rating double, n int")
 
 
 def estimate(rate: Column, interval: Column, population: Column) -> Column:

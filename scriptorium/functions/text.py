@@ -221,6 +221,29 @@ def language_label(c: Column, known: dict[str, str]) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", "Unknown").otherwise(F.coalesce(mapped, F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1000))))
 
 
+# Languages written from right to left, by their codes.
+RIGHT_TO_LEFT = {"arabic": "ar", "hebrew": "he", "aramaic": "arc", "syriac": "syr", "persian": "fa", "farsi": "fa", "urdu": "ur"}
+
+
+def script_code(language: Column) -> Column:
+    """The code of the right-to-left language that a name holds; null for others and for null."""
+    names = "|".join(RIGHT_TO_LEFT)
+    codes = F.create_map(*[F.lit(x) for kv in RIGHT_TO_LEFT.items() for x in kv])
+    return F.try_element_at(codes, F.regexp_extract(F.lower(F.coalesce(language, F.lit(""))), f"({names})", 1))
+
+
+def right_to_left(language: Column) -> Column:
+    """Whether a language name holds that of one written from right to left; false for null."""
+    return script_code(language).isNotNull()
+
+
+def escape_xml(text: Column) -> Column:
+    """The text with the five marks of XML as entities."""
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
 # Lower-case language names and what they are counted as.
 LANGUAGE_NAMES = {
     "latin": "Latin", "german": "German", "deutsch": "German", "french": "French", "français": "French", "francais": "French",

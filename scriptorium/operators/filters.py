@@ -97,3 +97,19 @@ def between(c: Column | str, low=None, high=None) -> Column:
 def within(c: Column | str, as_of: str, interval: str) -> Column:
     """Not older than an interval before a given time, so that results don't depend on the clock."""
     return col(c) >= F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}")
+
+
+def rejected(fields: list[Column | str], patterns: list[str]) -> Column:
+    """Whether some field matches one of the patterns; null fields don't."""
+    return reduce(operator.or_, [F.coalesce(col(f).rlike("|".join(f"(?:{p})" for p in patterns)), F.lit(False)) for f in fields], F.lit(False))
+
+
+def json_kind(c: Column | str, path: str) -> Column:
+    """The type of a field of a JSON document (STRING, BIGINT, ...), whatever it is in other rows; null where it
+    is missing or the text is no JSON."""
+    return F.schema_of_variant(F.variant_get(F.try_parse_json(col(c)), path, "variant"))
+
+
+def stale(at: Column | str, as_of: str, interval: str) -> Column:
+    """Whether a stored result is older than its time to live, or was never made."""
+    return F.coalesce(col(at) < F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {interval}"), F.lit(True))

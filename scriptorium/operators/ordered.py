@@ -87,3 +87,25 @@ def nearest(df: DataFrame, value: str, target, within: float, k: int, tie: str)
     """The k rows whose value is nearest to the target, at most `within` away."""
     far = F.abs(F.col(value) - F.lit(target))
     return df.where(far <= within).orderBy(far, tie).limit(k)
+
+
+def page_with_total(df: DataFrame, order: list[Column], limit: int, offset: int = 0, most: int = 200) -> DataFrame:
+    """A page of a sorted result with the number of all rows (total) and whether rows follow (has_more)."""
+    n = df.agg(F.count(F.lit(1)).alias("total"))
+    return page_of(df, order, limit, offset, most).crossJoin(F.broadcast(n)).withColumn("has_more", F.col("total") > max(0, offset) + min(max(1, limit), most))
+
+
+def sorted_by(df: DataFrame, field: str, allowed: dict[str, str], default: str, tie: str, descending: bool = True) -> list[Column]:
+    """The order of an asked field: only names in `allowed` (name -> column) count, others mean the default."""
+    c = F.col(allowed.get(field, allowed[default]))
+    return [c.desc_nulls_last() if descending else c.asc_nulls_first(), F.asc(tie)]
+
+
+def matchups(df: DataFrame, subject: str, condition: str, n: int, seed: int = 0) -> DataFrame:
+    """n pairs (subject, a, b) of conditions a < b that a subject has both of: the first by hash of all pairs.
+    The conditions of a subject are a short list of different names."""
+    lists = df.where(F.col(condition).isNotNull()).groupBy(subject).agg(F.array_sort(F.collect_set(condition)).alias("__c"))
+    pairs = F.flatten(F.transform("__c", lambda x, i: F.transform(F.slice("__c", i + 2, F.size("__c")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    each = lists.select(subject, F.explode(pairs).alias("p")).select(subject, "p.a", "p.b")
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(subject).cast("string"), "a", "b"))
+    return each.orderBy(draw, subject, "a", "b").limit(n)

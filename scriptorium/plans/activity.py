@@ -60,11 +60,6 @@ def usage_pivot(spark, d):
     return nested.pivot_sums(u, ["day"], "type", ["ocr", "translation"], F.col("page_count"))
 
 
-@query("usage_map")
-def usage_map(spark, d):
-    return nested.group_map(usage(spark, d), "type", F.count(F.lit(1)))
-
-
 @query(
     "late_usage",
     f"""SELECT id, CAST(floor(date_diff('second', timestamp, received_at)/3600) AS BIGINT) AS hours_late FROM {USAGE} WHERE received_at > timestamp + INTERVAL 6 HOUR""",
@@ -346,13 +341,6 @@ def wilson_intervals(spark, d):
     return g.select("source", w["low"].alias("low"), w["high"].alias("high"))
 
 
-@query("binomial_tests")
-def binomial_tests(spark, d):
-    t = A.tallies(judgments(spark, d), "condition_a", "condition_b", "winner")
-    n = F.col("wins") + F.col("losses")
-    return t.select("condition", stats.binomial_p(F.col("wins"), n).alias("p"), (stats.binomial_p(F.col("wins"), n) < 0.05).alias("significant"))
-
-
 @query(
     "sample_estimate",
     """SELECT CAST(floor(k*1.0/n*1000000+0.5) AS BIGINT) AS point FROM (SELECT count(*) AS n, count(*) FILTER (n_chars > 1000) AS k FROM documents)""",

@@ -17,6 +17,7 @@ from scriptorium.functions import ids, markup, stats, text
 from scriptorium.operators import aggregates as A
 from scriptorium.operators import filters, joins, nested, ordered
 from scriptorium.operators.ranking import latest_rows
+from scriptorium.operators.relevance import relevance
 from scriptorium.session import small, table
 
 
@@ -116,6 +117,11 @@ class Library:
             "counts": A.count_where(p, n=F.lit(True), in_ocr=F.col("in_ocr"), in_translation=F.col("in_translation")),
         }
 
+    def relevant(self, book_id: str, q: str, limit: int = 50) -> DataFrame:
+        """The pages of one book by relevance to a query, over both texts: (id, score)."""
+        both = F.concat_ws("\n", "ocr.data", "translation.data")
+        return relevance(self.pages(both.alias("t"), book_id=book_id), "id", "t", long_enough(q), clamp(limit, 50))
+
     def retrieve(self, book_id: str, question: str, limit: int = 15) -> DataFrame:
         """The pages of a book that hold the question's keywords most often; its first pages if none does."""
         p = self.pages(F.coalesce(F.nullif("translation.data", F.lit("")), "ocr.data").alias("t"), book_id=book_id).where(filters.has_text("t"))
@@ -220,7 +226,7 @@ class Library:
             e = e.where(F.col("kind") == kind)
         if q:
             e = e.where(filters.contains_ci("name", q))
-        return ordered.page_of(e, [F.desc("total_mentions"), F.asc("name"), F.asc("kind")], limit, offset)
+        return ordered.page_with_total(e, [F.desc("total_mentions"), F.asc("name"), F.asc("kind")], limit, offset)
 
     def related(self, name: str, tag: str = "keywords", k: int = 10) -> DataFrame:
         """The entities that share most books with one."""

@@ -450,11 +450,6 @@ def page_summaries(spark, d):
     return pages_of(spark, d, markup.element(F.col("translation.data"), "summary").alias("summary")).where("summary is not null").select("id", "summary")
 
 
-@query("page_summaries_or_opening")
-def page_summaries_or_opening(spark, d):
-    return pages_of(spark, d, markup.page_summary(F.col("translation.data"), F.col("summary.data")).alias("summary")).where("summary is not null").select("id", "summary")
-
-
 def _nested(sql: str, steps: list[tuple[str, str]]) -> str:
     """SQL of regular replacements, one after the other."""
     for pattern, new in steps:
@@ -501,12 +496,6 @@ def edition_hash(spark, d):
     return p.groupBy("book_id").agg(F.sha2(F.array_join(parts, "\n\n"), 256).alias("hash"))
 
 
-@query("shortlinks")
-def shortlinks(spark, d):
-    p = pages_of(spark, d).withColumn("code", ids.shortlink("book_id", F.col("page_number").cast("int")))
-    return p.select("id", "code", ids.shortlink_parts("code").alias("x")).select("id", "code", F.col("x.book_id").alias("book_id"), F.col("x.page").alias("page"))
-
-
 @query(
     "citations",
     """SELECT id, '(' || split_part(coalesce(author,'Unknown'), ',', 1) || ' ' || coalesce(nullif(published,''),'n.d.') || ', p. 3)' AS inline FROM books""",
@@ -517,12 +506,6 @@ def citations(spark, d):
     return b.select("id", c["inline"].alias("inline"))
 
 
-@query("citation_styles")
-def citation_styles(spark, d):
-    b = books_of(spark, d)
-    return b.select("id", ids.citations(F.col("author"), F.coalesce("display_title", "title"), F.col("published"), F.col("doi"), F.lit(3), "the library", 2025).alias("c")).select("id", "c.*")
-
-
 @query(
     "translation_dates",
     f"""SELECT b.id, m AS last_translation_at FROM books b JOIN (SELECT book_id, max(translation.updated_at) AS m FROM {PAGES} WHERE coalesce(translation.data,'')<>'' GROUP BY book_id) p ON p.book_id=b.id WHERE b.last_translation_at IS DISTINCT FROM m""",

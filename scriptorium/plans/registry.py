@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.operators import aggregates as A
-from scriptorium.plans import activity, library  # noqa: F401  (fill the registry)
+from scriptorium.plans import activity, details, library  # noqa: F401  (fill the registry)
 from scriptorium.plans.base import ORACLE, QUERIES, query  # noqa: F401
 from scriptorium.session import table
 

@@ -114,3 +114,20 @@ def test_repairs_of_markup():
     assert (open_["fix"], open_["fix_position"], open_["fix_text"]) == ("insert", 9, "]]")
     long = "x" * 40 + "]]" + "y" * 40
     assert markup.check(long)[0]["context"] == "..." + "x" * 30 + "]]" + "y" * 30 + "..."
+
+
+def test_ratings_against_a_plain_fold(spark):
+    from scriptorium.functions import stats
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["e1", "e2", None]), i, *rng.sample("xyz", 2), rng.choice(["a", "b", "tie"])) for i in range(200)] + [("e1", 999, None, "x", "a")]
+    want = {}
+    for g, _, x, y, won in sorted((r for r in rows if r[2]), key=lambda r: r[1]):
+        rx, ry = want.setdefault((g, x), 1500.0), want.setdefault((g, y), 1500.0)
+        gain = 32 * ({"a": 1.0, "b": 0.0}.get(won, 0.5) - 1 / (1 + 10 ** ((ry - rx) / 400)))
+        want[g, x] += gain
+        want[g, y] -= gain
+    df = spark.createDataFrame(rows, "g string, id int, condition_a string, condition_b string, winner string").repartition(5)
+    got = {(r.g, r.condition): r.rating for r in stats.elo(df, "g", ["id"]).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert stats.elo(df.limit(0), "g", ["id"]).count() == 0
