@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +48,21 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, shares: dict[str, f
     return order_statistics(df, keys, value, {name: F.least(F.floor(n * s), n - 1) for name, s in shares.items()}).drop("__n")
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Percentiles of each group, linear between the two nearest values. Exact for groups of any size."""
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], few: int = 2_000_000, **measures: Column) -> DataFrame:
+    """Measures of each group, and percentiles, linear between the two nearest values. Exact for groups of
+    any size: tables of at most `few` rows, which are counted, are aggregated at once, larger ones by
+    order_statistics, with the same result. Groups without values have null percentiles."""
+    plain = [c.alias(n) for n, c in measures.items()]
+    if df.select(F.lit(1)).limit(few + 1).count() <= few:
+        return df.groupBy(*keys).agg(*plain, *[F.percentile(value, F.lit(s)).alias(n) for n, s in shares.items()])
     at = lambda s: (F.col("__n") - 1) * F.lit(s)
     low, high = {f"__lo_{n}": F.floor(at(s)) for n, s in shares.items()}, {f"__hi_{n}": F.ceil(at(s)) for n, s in shares.items()}
-    found = order_statistics(df, keys, value, low | high)
+    found = order_statistics(df, keys, value, low | high, few=few)
     between = lambda n, s: F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * (at(s) - F.floor(at(s)))
-    return found.select(*keys, *[between(n, s).alias(n) for n, s in shares.items()])
+    tails = found.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[between(n, s).alias(n) for n, s in shares.items()])
+    groups = df.groupBy(*keys).agg(*plain, F.lit(1).alias("__one"))
+    on = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return groups.join(tails, on, "left").select(*keys, *measures, *shares)
 
 
 def inverted_index(df: DataFrame, term: str, place: str) -> DataFrame:

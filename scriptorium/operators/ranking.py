@@ -76,14 +76,17 @@ def run_rank(df: DataFrame, group: str, number: str, unique_id: str, span: int =
     return joined.withColumn(name, (F.col("__within") + F.col("__before")).cast("int")).drop("__run", "__within", "__before", "__g", "__r")
 
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], slices: int = 64) -> DataFrame:
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Column], slices: int = 64, few: int = 2_000_000) -> DataFrame:
     """(keys, __n, names): the values at given places (from 0) of each group's values in order; places are
     expressions of __n, the number of values.
 
     Exact, and no group is gathered: a sketch cuts each group into slices of about equal size, the slices
-    are counted, and only the values of the slices that hold a place are ranked. Null values are left
-    out; a group without values has no row.
+    are counted, and only the values of the slices that hold a place are ranked. Tables of at most `few`
+    rows, which are counted, are ranked at once, with the same result. Null values are left out; a group
+    without values has no row.
     """
+    if df.select(F.lit(1)).limit(few + 1).count() <= few:
+        return ranked_at_once(df, keys, value, places)
     named = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
     vals = df.where(F.col(value).isNotNull()).select(*named, F.col(value).alias("__v"))
     ks = [f"__k{i}" for i in range(len(keys))]
@@ -115,6 +118,16 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[st
     return out.select(*[F.col(k).alias(name) for k, name in zip(ks, keys)], "__n", *places)
 
 
+def ranked_at_once(df: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """order_statistics of a table whose groups each fit a task: equal values are counted, then ranked."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    w = W.partitionBy(*keys)
+    upto = F.sum("__c").over(w.orderBy("__v").rowsBetween(W.unboundedPreceding, 0))
+    ranked = counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(w)})
+    at = lambda c: F.max(F.when((c < F.col("__upto")) & (c >= F.col("__upto") - F.col("__c")), F.col("__v")))
+    return ranked.groupBy(*keys).agg(F.max("__n").alias("__n"), *[at(c).alias(n) for n, c in places.items()])
+
+
 def latest_rows(df: DataFrame, key: str, version: str) -> DataFrame:
     """The row of each key with the greatest version; rows with a null key are dropped.
 

@@ -18,11 +18,7 @@ from scriptorium.session import table
 )
 def metric_stats(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
-    plain = e.groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"),
-        (F.floor(F.avg("value") * 100 + 0.5) / 100).alias("avg_value"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-    )
-    tails = A.percentiles(e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95}).withColumnRenamed("event_type", "t")
-    return plain.join(tails, F.col("event_type").eqNullSafe(F.col("t")), "left").drop("t")
+    return A.percentiles(
+        e, ["event_type"], "value", {"p50": 0.5, "p95": 0.95},
+        n=F.count(F.lit(1)), avg_value=F.floor(F.avg("value") * 100 + 0.5) / 100, min_value=F.min("value"), max_value=F.max("value"),
+    )

@@ -12,7 +12,9 @@ from scriptorium.operators import aggregates, joins, ordered, ranking
 from tests.conftest import values
 
 
-def test_order_statistics_against_brute_force(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_order_statistics_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(ranking.order_statistics, "__defaults__", (64, few))
     rng = random.Random(2)
     rows = [("hot", rng.choice([rng.random(), 0.5, -1.0])) for _ in range(3000)] + [("few", float(i)) for i in range(5)] + [("one", 7.0)] * 3 + [(None, 1.0), (None, 3.0), ("gone", None)]
     df = spark.createDataFrame(rows, "k string, v double").withColumn("__n", F.lit("clash")).drop("__n")
@@ -24,10 +26,10 @@ def test_order_statistics_against_brute_force(spark):
     got = {r.k: tuple(r)[1:] for r in aggregates.nearest_rank(df, ["k"], "v", shares).collect()}
     assert got == {k: tuple(sorted(v)[min(int(len(v) * s), len(v) - 1)] for s in shares.values()) for k, v in by.items()}
     exact = {r.k: r for r in df.where("v is not null").groupBy("k").agg(*[F.percentile("v", F.lit(s)).alias(n) for n, s in shares.items()]).collect()}
-    for r in aggregates.percentiles(df, ["k"], "v", shares).collect():
-        assert all(abs(r[n] - exact[r.k][n]) < 1e-9 for n in shares)
-    for slices in (2, 8):
-        assert values(ranking.order_statistics(df, ["k"], "v", {"m": F.floor(F.col("__n") / 2)}, slices).select("k", "m")) == sorted(((k, sorted(v)[len(v) // 2]) for k, v in by.items()), key=repr)
+    for r in aggregates.percentiles(df, ["k"], "v", shares, few=few, n=F.count("v")).collect():
+        assert r.n == len(by.get(r.k, [])) and all(r[n] is None if r.n == 0 else abs(r[n] - exact[r.k][n]) < 1e-9 for n in shares)
+    for slices, few in ((2, 0), (8, 0), (64, 0), (64, 10**6)):
+        assert values(ranking.order_statistics(df, ["k"], "v", {"m": F.floor(F.col("__n") / 2), "z": F.col("__n") - 1}, slices, few).select("k", "m")) == sorted(((k, sorted(v)[len(v) // 2]) for k, v in by.items()), key=repr)
     assert aggregates.nearest_rank(df.limit(0), ["k"], "v", shares).count() == 0
 
 
