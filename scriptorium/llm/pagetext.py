@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scriptorium.operators.ranking import latest_rows
 
 #: A line that holds a printed page or leaf number and nothing else (l, I and O as misread digits).
-NUMBER = r"(?:<page-num>[^<\n]*</page-num>|[-–—\[(]?\s*(?:(?:fol|f|p|pp|pag|page|S|bl)\.?\s*)?[0-9lIO]{1,4}\s?[rv]?\s*[-–—\])]?\.?|[-–—\[(]?\s*[ivxlcIVXLC]{1,8}\s*[-–—\])]?\.?)"
+NUMBER = r"(?:<page-num>[^<\n]*</page-num>|[-–—\[(]?\s*(?:(?:fol|f|p|pp|pag|page|S|bl)\.?\s*)?[0-9lIO]{1,4}\s?[rv]?\s*[-–—\])]?\.?|[-–—\[(]?\s*[ivxlcIVXLC]{1,12}\s*[-–—\])]?\.?)"
 #: Other lines without running text: markup elements, ornaments, closing formulas.
 FURNITURE = r"(?:<([A-Za-z][\w-]*)>[^<]*</[\w-]+>|\[\[meta:[^\]]*\]\]|(?:\*\s*)+|\((?:blank)\)|FINIS\.?|Finis[^\n]{0,30}|Fin\.?|Ende\.?|The End\.?|Einde\.?|Fine\.?)"
 #: A running header: every word begins with a capital letter or a digit.
@@ -18,7 +18,7 @@ HEADING = r"(?:(?:fol\. ?\w+|p\. ?\w+|['’]?[\p{Lu}\d][^\s]*|\d+\.?|\[\d+\]|- ?
 HYPHENS = "-=⸗¬‐­"
 
 TRAILING = rf"(?:(?:^|\n)[ \t]*(?:{NUMBER}|{FURNITURE})?[ \t]*)+$"
-LEADING = rf"^(?:[ \t]*(?:{NUMBER}|{FURNITURE}|(?:{NUMBER}[ \t]{{2,}})?{HEADING})?[ \t]*\n)+"
+LEADING = rf"^(?:[ \t]*(?:{NUMBER}|{FURNITURE}|(?:{NUMBER}[ \t]{{2,}})?{HEADING}(?:(?<=[ \t][ \t]){NUMBER})?)?[ \t]*\n)+"
 
 
 def latest_pages(pages: DataFrame, *columns: Column | str) -> DataFrame:

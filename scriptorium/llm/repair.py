@@ -51,7 +51,9 @@ WORD = re.compile(r"[^\W_]*[^\W\d_][^\W_]*")
 NUMBER = re.compile(rf"[ \t]*{pagetext.NUMBER}[ \t]*")
 FURNITURE = re.compile(rf"[ \t]*{pagetext.FURNITURE}[ \t]*")
 HEADING = re.compile(r"[ \t]*(?:(?:fol\. ?\w+|p\. ?\w+|['’.,]?[A-ZÀ-Þ0-9][^\s]*|\[\w+\]|- ?\w+ ?-|&)(?:[ \t]+|$)){1,9}")
-IN_HEADER = re.compile(r"^[ \t]*(?:\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?)[ \t]{2,}|[ \t]{2,}(?:\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?)[ \t]*$")
+#: A printed number beside a running header, two spaces apart: Arabic, or Roman in small letters.
+BESIDE = r"(?:\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?|[ivxlcdm1]{1,12}\.?)"
+IN_HEADER = re.compile(rf"^[ \t]*{BESIDE}[ \t]{{2,}}|[ \t]{{2,}}{BESIDE}[ \t]*$")
 MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]*</\1>|<[^>\n]*>|\[\[[^\]\n]*(?:\]\]|\n[^\]\n]*\]\]|$)")
 BROKEN = re.compile(rf"(\w)[{pagetext.HYPHENS}] *\n+(?=[a-zß-ÿ])(?!(?:{'|'.join(sorted(JOINERS))})\b)")
 HYPHEN_END = re.compile(rf"([^\W\d_]+)[{pagetext.HYPHENS}][ \t]*$")
@@ -77,7 +79,7 @@ class Page:
                 self.numbers.append(i)
             elif FURNITURE.fullmatch(line):
                 pass
-            elif len(full) > 1 and HEADING.fullmatch(line):
+            elif len(full) > 1 and HEADING.fullmatch(IN_HEADER.sub("", line, count=1)):
                 words = fold(line).split()
                 if words and words[0] in CHAPTERS:
                     pass

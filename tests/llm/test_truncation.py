@@ -70,6 +70,7 @@ def test_marks_and_limits_hold_though_the_next_page_goes_on(spark):
         rows.append((f"on{i:02}", "c", 2.0 * i + 1, T0, "minor est luna. " + own(400 + i, FULL), False))
     rows += [("dots", "d", 1.0, T0, own(900, FULL + " Deinde..."), False), ("then", "d", 2.0, T0, "minor est luna. " + FULL, False)]
     rows += [("roman", "f", 1.0, T0, own(901, FULL + " Deinde cor"), False), ("head", "f", 2.0, T0, "xii   LIBER III.\nMinor est luna. " + FULL, False)]
+    rows += [("runs", "g", 1.0, T0, own(902, FULL + " Deinde cor"), False), ("tail", "g", 2.0, T0, "De Luce Et   cclxxxviii\nminor est luna. " + FULL, False)]
     found = cut(spark, rows)
     assert {k[0]: w for k, w in found.items() if w == "limit"} == {f"limit{i:02}": "limit" for i in range(40)} | {"runs20": "limit"}
     assert {k[0]: w for k, w in found.items() if w != "limit"} == {"dots": "mark", "roman": "end"}
