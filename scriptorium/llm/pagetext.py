@@ -12,8 +12,8 @@ from scriptorium.operators.ranking import latest_rows
 NUMBER = r"(?:<page-num>[^<\n]*</page-num>|[-–—\[(]?\s*(?:(?:fol|f|p|pp|pag|page|S|bl)\.?\s*)?[0-9lIO]{1,4}\s?[rv]?\s*[-–—\])]?\.?|[-–—\[(]?\s*[ivxlcIVXLC]{1,12}\s*[-–—\])]?\.?)"
 #: Other lines without running text: markup elements, ornaments, closing formulas.
 FURNITURE = r"(?:<([A-Za-z][\w-]*)>[^<]*</[\w-]+>|\[\[meta:[^\]]*\]\]|(?:\*\s*)+|\((?:blank)\)|FINIS\.?|Finis[^\n]{0,30}|Fin\.?|Ende\.?|The End\.?|Einde\.?|Fine\.?)"
-#: A running header: every word begins with a capital letter or a digit.
-HEADING = r"(?:(?:fol\. ?\w+|p\. ?\w+|['’]?[\p{Lu}\d][^\s]*|\d+\.?|\[\d+\]|- ?\w+ ?-|&)(?:[ \t]+|(?=\n)|$)){1,9}"
+#: A running header: every word begins with a capital letter or a digit, or a mark read in its place.
+HEADING = r"(?:(?:fol\. ?\w+|p\. ?\w+|['’]?[\p{Lu}\d][^\s]*|['’.,]+[^\s]*|\d+\.?|\[\d+\]|- ?\w+ ?-|&)(?:[ \t]+|(?=\n)|$)){1,9}"
 #: Hyphens that break a word at the end of a line.
 HYPHENS = "-=⸗¬‐­"
 

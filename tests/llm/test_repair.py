@@ -37,10 +37,10 @@ def test_kinds_of_lines(spark, books):
 
 
 def test_headers_with_roman_numbers(spark, books):
-    heads = ["xlv   De Luce Et Aqua", "De Luce Et   cclxxxviii", "DE LUCE   [4]", "ix  KUBREIN."]
+    heads = ["xlv   De Luce Et Aqua", "De Luce Et   cclxxxviii", "DE LUCE   [4]", "ix  KUBREIN.", "<page-num>4</page-num>   DE LUCE", "De Luce 't Aqua   <page-num>xi</page-num>"]
     rows = [(f"p{i}", "b", float(i), f"{h}\n{GOOD}\n{GOOD}") for i, h in enumerate(heads)] + [("q", "b", 9.0, f"Vinum et   luce\n{GOOD}"), ("r", "b", 10.0, f"De Luce\n{GOOD}\ncclxxxviii")]
     got = values(repair.noisy_lines(pages(spark, rows), books))
-    assert got == sorted([(f"p{i}", 1, k) for i in range(4) for k in ("header", "page_number")] + [("r", 1, "header"), ("r", 3, "page_number")], key=repr)
+    assert got == sorted([(f"p{i}", 1, k) for i in range(6) for k in ("header", "page_number")] + [("r", 1, "header"), ("r", 3, "page_number")], key=repr)
 
 
 def close(lex):
