@@ -17,7 +17,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,14 +138,25 @@ def same_name(a: str, b: str) -> bool:
     return len(short) >= 3 and long.startswith(short) and re.fullmatch(r"(?:s*i?us)*s*", long[len(short) :]) is not None
 
 
-def volume_of(words: list[str]) -> int:
-    """The number of the part that a title names, 0 if none."""
+@lru_cache(maxsize=100_000)
+def is_part(word: str) -> bool:
+    """Whether it is a word for a part of a work, but for a slip in one of four letters or more."""
+    return word in PARTS or 3 <= len(word) <= 8 and any(len(x) >= 4 and near(word, x, 1) for x in PARTS)
+
+
+@lru_cache(maxsize=100_000)
+def ordinal(word: str) -> int:
+    """The number that it names, but for a slip in one of five letters or more; 0 if none."""
+    return next((n for n, names in ORDINALS.items() if word in names or len(word) >= 4 and any(len(x) > 4 and near(word, x, 1) for x in names)), 0)
+
+
+def volume_of(words: list[str], common: set[str] = frozenset()) -> int:
+    """The number of the part that a title names, 0 if none. Common words aren't slips of a word for a part."""
     for i, w in enumerate(words):
-        if w in PARTS:
+        if w in PARTS or w not in common and is_part(w):
             for other in (words[i + 1] if i + 1 < len(words) else "", words[i - 1] if i else ""):
-                for n, names in ORDINALS.items():
-                    if other in names or len(other) > 4 and any(len(x) > 4 and near(other, x, 1) for x in names):
-                        return n
+                if n := ordinal(other):
+                    return n
     return 0
 
 
@@ -185,7 +196,7 @@ def encode(records: DataFrame, common_words: list[str]) -> DataFrame:
     common_words: words in so many titles that they tell nothing. Records with the same normal
     forms share `form`, a hash of them.
     """
-    schema = "key bigint, side int, words array<string>, cut boolean, volume int, surname string, year int, place string, place_short boolean, title_bits array<bigint>, place_bits bigint, blocks array<bigint>, form bigint"
+    schema = "key bigint, side int, words array<string>, short array<string>, cut boolean, volume int, surname string, year int, place string, place_short boolean, title_bits array<bigint>, place_bits bigint, blocks array<bigint>, form bigint"
 
     long_common = [spelling(w) for w in common_words if len(w) >= 4]
     known: dict[str, bool] = {}
@@ -203,23 +214,24 @@ def encode(records: DataFrame, common_words: list[str]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
 
-        common = {spelling(w) for w in common_words}
+        common, plain = {spelling(w) for w in common_words}, set(common_words)
         for batch in batches:
             rows = []
             for r in batch.itertuples(index=False):
                 raw = r.title or ""
                 cut = bool(re.search(r"(…|\.\.\.|\[etc\.?\]|&c\.?|\betc\.?)\s*$", raw))
                 folded = fold(re.sub(r"(…|\.\.\.|\[etc\.?\]|&c\.?|\betc\.?)\s*$", "", raw)).split()
-                volume = volume_of(folded)
+                volume = volume_of(folded, plain)
                 begin = 1 if re.match(r"\s*(?:\w+\.\s+|\w{1,4}\s)\w", raw) else 0  # an abbreviated first word, or an article
                 content = [w for w in map(spelling, folded[begin:]) if w not in common and len(w) > 1 and not slip_of_common(w)] or [spelling(w) for w in folded]
+                abbreviated = sorted({spelling(w) for x in re.findall(r"(\w{2,})\.(?=\s*\w)", raw) for w in fold(x).split()} & set(content))
                 s, y, (p, short) = surname(r.author), year_of(r.year), place_of(r.place)
                 grams, names = sum((bigrams(w) for w in content), []), bigrams(s)
                 digits = [f"{i}{c}" for i, c in enumerate(str(y))] if y else []
                 heads = [bigrams(w) for w in [*content, "", ""][:2]]
                 blocks = [block(names), block(digits), block(bigrams(p[:4])[:-1]), *map(block, heads)]
-                form = xxhash.xxh64_intdigest(repr((content, cut, volume, s, y, p, short))) - 2**63
-                rows.append((r.key, r.side, content, cut, volume, s, y, p, short, words_of(bits(grams, TITLE_BITS)), block(bigrams(p)), blocks, form))
+                form = xxhash.xxh64_intdigest(repr((content, abbreviated, cut, volume, s, y, p, short))) - 2**63
+                rows.append((r.key, r.side, content, abbreviated, cut, volume, s, y, p, short, words_of(bits(grams, TITLE_BITS)), block(bigrams(p)), blocks, form))
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in schema.split(", ")])
 
     return records.select("key", "side", "title", "author", "year", "place").mapInPandas(run, schema)
@@ -316,6 +328,12 @@ def agreement(pairs: DataFrame, common_words: list[str]) -> DataFrame:
                     if hit is not None:
                         left.remove(w)
                         right.remove(hit)
+                for mine, other, short in ((left, right, r.short_a), (right, left, r.short_b)):  # abbreviated words
+                    for w in [w for w in mine if w in short]:
+                        whole = next((x for x in other if x.startswith(w)), None)
+                        if whole is not None:
+                            mine.remove(w)
+                            other.remove(whole)
                 if r.cut_a and left and right and any(x.startswith(left[-1]) for x in right):
                     left.pop()
                 if r.cut_b and left and right and any(x.startswith(right[-1]) for x in left):
@@ -350,11 +368,13 @@ LEVELS = ["l_title", "l_author", "l_year", "l_place", "l_volume"]
 
 def same_printing() -> Column:
     """Whether the levels allow the same work, volume and edition: an edition is another one if
-    year and place both differ, or one differs while the other is missing."""
+    year and place both differ, or one differs while the other is missing; a year that is off by three at
+    most is a slip if the place agrees, or is missing while author and title agree."""
     work = (F.col("l_title") >= 1) & (F.col("l_volume") == 1) & ((F.col("l_author") >= 2) | ((F.col("l_author") == 1) & (F.col("l_title") >= 1)))
     edition = (
         ((F.col("l_year") == 3) & (F.col("l_place") >= 1))
         | ((F.col("l_year") == 2) & (F.col("l_place") >= 2))
+        | ((F.col("l_year") == 2) & (F.col("l_place") == 1) & (F.col("l_author") >= 2))
         | ((F.col("l_year") == 1) & (F.col("l_place") >= 2))
     )
     vague = (F.col("l_year") == 1) & (F.col("l_place") == 1) & (F.col("l_author") >= 2) & (F.col("l_title") == 2)
@@ -441,7 +461,7 @@ def match_records(left: DataFrame, right: DataFrame, common_share: float = 0.018
     numbered = {p[: len(bins)]: i for i, p in enumerate(patterns)}
     listed = spark.createDataFrame([(*k, i) for k, i in numbered.items()] or [(*[0] * len(bins), 0)], ", ".join(f"{x} int" for x in bins) + ", pattern int")
     found = near_.join(F.broadcast(listed), bins).select("form_a", "form_b", "similarity", "pattern")
-    fields = ["words", "cut", "volume", "surname", "year", "place", "place_short"]
+    fields = ["words", "short", "cut", "volume", "surname", "year", "place", "place_short"]
     side = lambda df, x: df.select(F.col("form").alias(f"form_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in fields])
     full = found.join(side(a, "a"), "form_a").join(side(b, "b"), "form_b")
     levels = materialize(agreement(full, common).withColumn("plausible", F.when(F.col("l_title") > 0, same_printing()).otherwise(0)), "levels")

@@ -26,6 +26,8 @@ def test_normal_forms():
     assert matching.place_of("Lindburgii")[0] == matching.place_of("[Lindburg]")[0] == matching.place_of("LINDBURG, apud")[0] == "lindburg"
     assert matching.place_of("Lind.") == ("lind", True) and matching.place_of("s.l.") == ("", False)
     assert matching.volume_of(matching.fold("De sole, pars secunda").split()) == 2 and matching.volume_of(["nunc", "primum"]) == 0
+    assert matching.volume_of(["anderer", "tel"]) == 2 and matching.volume_of(["the", "fist", "part"]) == 1 and matching.volume_of(["prima", "terra"]) == 0
+    assert matching.volume_of("trattato del terra".split(), {"del"}) == 0
     assert matching.near("herbam", "hebram", 1) and not matching.near("herbam", "hortum", 2)
 
 
@@ -42,6 +44,12 @@ def test_same_printing_reprint_and_volume(spark):
     assert pairs(spark, a, b) == [(1, 11), (2, 14)]
 
 
+def test_abbreviated_words_slips_of_the_year_and_of_the_part(spark):
+    a = [(1, "Disputatio de natura contra manum", "Mires, Michele", "1690", "Vellau"), (2, "Theatrum portae et imaginis", "Daulaulm", "1525", None), (3, "Bericht von dem Ofen, anderer Teil", "Flogiel", "1685", "Kest"), (4, "Clavis lunae et solis", "Kodraund", "1600", "Oskau")]
+    b = [(11, "Disp. de nat. contra manum", "Michael Mires", "1690", "Vellau"), (12, "Theatrum portae et imaginis", "A. Daulaulm", "1526", "Lindburg"), (13, "Bericht von dem Ofen, anderer Tel", "G. Flogiel", "1685", "Kest"), (14, "Clavis lunae et solis", "Kodraund", "1606", None)]
+    assert pairs(spark, a, b) == [(1, 11), (2, 12), (3, 13)]
+
+
 def test_empty_tables(spark):
     row = [(1, "De sole", "A B", "1500", "C")]
     assert pairs(spark, [], row) == pairs(spark, row, []) == pairs(spark, [], []) == []
