@@ -83,9 +83,9 @@ class Library:
         hits = of_books
         if content:
             t = F.coalesce(F.nullif("translation.data", F.lit("")), "ocr.data")
-            p = self.pages(t.alias("t")).where(filters.contains_ci("t", q))
+            p = self.pages(F.when(filters.contains_ci(t, q), text.snippet(t, q)).alias("snippet")).where("snippet is not null")
             named = joins.lookup_one(p, b.select("id", label.alias("label")), "book_id", "id", "b_", required=True)
-            hits = hits.unionByName(named.select(F.lit("page").alias("type"), "book_id", F.col("id").alias("page_id"), F.col("b_label").alias("label"), text.snippet(F.col("t"), q).alias("snippet"), F.lit(False).alias("exact"), F.lit(False).alias("in_title")))
+            hits = hits.unionByName(named.select(F.lit("page").alias("type"), "book_id", F.col("id").alias("page_id"), F.col("b_label").alias("label"), "snippet", F.lit(False).alias("exact"), F.lit(False).alias("in_title")))
         order = [F.when(F.col("type") == "book", 0).otherwise(1), F.desc("exact"), F.desc("in_title"), F.asc("book_id"), F.asc_nulls_first("page_id")]
         out = {"hits": ordered.page_of(hits, order, limit, offset, 100), "total": hits.agg(F.count(F.lit(1)).alias("n"))}
         if year:
@@ -138,8 +138,10 @@ class Library:
     def sources_for(self, question: str, most: int = 3) -> DataFrame:
         """Pages that answer a question from different books: the best page of each of the best books."""
         terms = text.search_terms(question)
-        p = self.pages(F.col("translation.data").alias("t")).where(filters.has_text("t", 100) & ~filters.matches_ci("t", r"<warning>|\[\[warning"))
-        scored = p.withColumn("score", text.keyword_score(F.col("t"), terms)).where("score > 0")
+        t = F.col("translation.data")
+        fit = filters.has_text(t, 100) & ~filters.matches_ci(t, r"<warning>|\[\[warning")
+        score = F.when(fit, text.keyword_score(t, terms)).otherwise(0)
+        scored = self.pages(F.when(score > 0, t).alias("t"), score.alias("score")).where("score > 0")
         return ordered.best_per_group(scored, "book_id", F.col("score"), "id", most)
 
     # -- images

@@ -358,9 +358,9 @@ def neighbour_pages(spark, d):
         FROM w WHERE page_number = pn + 1 AND NOT stitched AND (regexp_matches(ltrim(t), '^[a-z]') OR regexp_matches(ltrim(t), '(?i)^(and|but|or|for|nor|yet|so|however|therefore|thus|hence|moreover)\\b') OR regexp_matches(rtrim(pt), '[,;:–—-]$'))""",
 )
 def stitch_candidates(spark, d):
-    p = pages_of(spark, d, F.coalesce("translation.data", F.lit("")).alias("t"), F.coalesce("translation.stitched", F.lit(False)).alias("stitched"))
-    marks = p.select("id", "book_id", "page_number", "stitched", F.ltrim("t").rlike("^[a-z]").alias("low"),
-                     F.ltrim("t").rlike(r"(?i)^(and|but|or|for|nor|yet|so|however|therefore|thus|hence|moreover)\b").alias("conj"), F.rtrim("t").rlike("[,;:–—-]$").alias("open"))
+    t = F.coalesce("translation.data", F.lit(""))
+    marks = pages_of(spark, d, F.coalesce("translation.stitched", F.lit(False)).alias("stitched"), F.ltrim(t).rlike("^[a-z]").alias("low"),
+                     F.ltrim(t).rlike(r"(?i)^(and|but|or|for|nor|yet|so|however|therefore|thus|hence|moreover)\b").alias("conj"), F.rtrim(t).rlike("[,;:–—-]$").alias("open"))
     w = W.partitionBy("book_id").orderBy("page_number", "id")
     pairs = marks.withColumns({"pn": F.lag("page_number").over(w), "po": F.lag("open").over(w)}).where("page_number = pn + 1 and not stitched and (low or conj or po)")
     return pairs.select("id", F.when(F.col("low"), "starts_lowercase").when(F.col("conj"), "starts_conjunction").otherwise("prev_incomplete").alias("reason"))
@@ -419,8 +419,8 @@ def exact_sample(spark, d):
         SELECT book_id || '|' || term AS book_term, count(DISTINCT page_number) AS n_places, array_to_string(list_sort(list(DISTINCT CAST(page_number AS INT))), ' ') AS places FROM t WHERE term <> '' GROUP BY book_id, term""",
 )
 def term_index(spark, d):
-    p = pages_of(spark, d, F.col("translation.data").alias("t"))
-    t = p.select(F.explode(markup.terms(F.col("t"), "summary")).alias("term"), "book_id", F.col("page_number").cast("int").alias("page"))
+    p = pages_of(spark, d, markup.terms(F.col("translation.data"), "summary").alias("terms"))
+    t = p.select(F.explode("terms").alias("term"), "book_id", F.col("page_number").cast("int").alias("page"))
     i = A.inverted_index(t.select(F.concat("book_id", F.lit("|"), "term").alias("book_term"), "page"), "book_term", "page")
     return i.select("book_term", "n_places", F.array_join(F.transform("places", lambda x: x.cast("string")), " ").alias("places"))
 
