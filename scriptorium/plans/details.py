@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scriptorium.functions import ids, links, markup, stats, text
+from scriptorium.functions import ids, layout, links, markup, stats, text
 from scriptorium.operators import aggregates as A
 from scriptorium.operators import changes, entities, filters, joins, nested, ordered
 from scriptorium.operators.relevance import relevance
@@ -322,6 +322,16 @@ def repaired_markup(spark, d):
     return b.withColumn("i", F.get(markup.issues("t"), F.lit(0))).select("id", markup.repaired(F.col("t"), F.col("i")).alias("mended"))
 
 
+@query(
+    "planted_faults",
+    """SELECT id, kind, CAST(length(title) + p AS INT) AS place FROM (SELECT id, title FROM books WHERE title IS NOT NULL AND NOT regexp_matches(title, '[][<>]')), (VALUES ('unclosed_close', 1), ('unbalanced_center', 4), ('unknown_xml_tag', 7), ('unclosed_xml', 7), ('empty_xml_tag', 11), ('unknown_tag', 25), ('empty_tag', 25), ('unclosed_open', 34)) v(kind, p)""",
+)
+def planted_faults(spark, d):
+    b = books_of(spark, d).where(F.col("title").isNotNull() & ~F.col("title").rlike(r"[\[\]<>]"))
+    made = F.concat("title", F.lit(" ]] -> <b> <note> </note>[[foo:]] [[x"))
+    return b.select("id", F.explode(markup.issues(made)).alias("i")).select("id", F.col("i.type").alias("kind"), F.col("i.position").alias("place"))
+
+
 @query("emptied_tags", "SELECT id, coalesce(title, '') || 'x' AS cleaned, 2 AS removed FROM books")
 def emptied_tags(spark, d):
     t = F.concat(F.coalesce("title", F.lit("")), F.lit("<note> </note>[[term: ]]x"))
@@ -397,6 +407,17 @@ def titles_without(spark, d):
     return books_of(spark, d).where(F.col("title").rlike("(?is)^(?!.*de).*$")).select("id")
 
 
+# -- page layout
+
+
+@query("split_detections")
+def split_detections(spark, d):
+    # each vector as a small grey picture, sixteen columns wide
+    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.greatest(F.least(((x + 0.5) * 255).cast("int"), F.lit(255)), F.lit(0))), 2, "0"))
+    e = table(spark, d, "embeddings").select("vec_id", F.unhex(F.array_join(grey, "")).alias("pixels"))
+    return e.select("vec_id", layout.detect_split("pixels", F.lit(16), F.lit(4)).alias("s")).select("vec_id", "s.*")
+
+
 # -- links and citations
 
 
