@@ -103,8 +103,9 @@ STEPS = 200
 #: Most word pairs held before they are summed, most cells of a page's word matrix at once, and most
 #: cells of a table of sums; where more are needed, sums are made by sorting.
 HELD, CELLS, TABLE = 3_000_000, 1_000_000, 8_000_000
-#: Words of a part (about 2,000 pages), and of the pages of a part that are worked on at once.
-PART_WORDS, CHUNK_WORDS = 500_000, 40_000
+#: Words of a part (about 2,000 pages), and of the pages of a part that are worked on at once; most tasks that
+#: parts are spread over, so that beyond it a task works on several parts, one after the other.
+PART_WORDS, CHUNK_WORDS, TASKS = 500_000, 40_000, 20_000
 
 
 class Pages:
@@ -435,10 +436,10 @@ def by_part(texts: DataFrame, n: int, shard: DataFrame | None, work, schema: str
             yield from work(*(pages[c].tolist() for c in ("src", "n_src", "trg", "n_trg")), pages["page_id"].tolist(), lexicon)
 
     joined = lambda frames: pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-    parts = texts.repartition(n, "part").groupBy("part")
+    parts = texts.repartition(min(n, TASKS), "part").groupBy("part")
     if shard is None:
         return parts.applyInPandas(lambda pages: joined(list(run(pages, None))), schema)
-    return parts.cogroup(shard.repartition(n, "part").groupBy("part")).applyInPandas(lambda pages, entries: joined(list(run(pages, entries))), schema)
+    return parts.cogroup(shard.repartition(min(n, TASKS), "part").groupBy("part")).applyInPandas(lambda pages, entries: joined(list(run(pages, entries))), schema)
 
 
 def pair_counts(texts: DataFrame, n: int, shard: DataFrame | None) -> DataFrame:

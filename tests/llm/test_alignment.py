@@ -152,4 +152,6 @@ def test_many_parts_give_the_same_links(spark, monkeypatch):
     one = values(alignment.align_pages(df))
     monkeypatch.setattr(alignment, "PART_WORDS", 300)
     monkeypatch.setattr(alignment, "CHUNK_WORDS", 50)
-    assert values(alignment.align_pages(df)) == one
+    for tasks in (alignment.TASKS, 2):
+        monkeypatch.setattr(alignment, "TASKS", tasks)
+        assert values(alignment.align_pages(df)) == one
