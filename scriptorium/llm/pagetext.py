@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators.ranking import latest_rows
 
-#: A line that holds a printed page or leaf number and nothing else (l, I and O as misread digits).
-NUMBER = r"(?:<page-num>[^<\n]*</page-num>|[-–—\[(]?\s*(?:(?:fol|f|p|pp|pag|page|S|bl)\.?\s*)?[0-9lIO]{1,4}\s?[rv]?\s*[-–—\])]?\.?|[-–—\[(]?\s*[ivxlcIVXLC]{1,12}\s*[-–—\])]?\.?)"
+#: A printed number in Arabic digits, of any length (l, I and O as misread digits), and one in Roman digits; of
+#: those over 499 only well-formed ones of three letters and more, as words are written with d and m, too.
+ARABIC = r"[0-9lIO]+"
+ROMAN = r"(?:[ivxlcIVXLC]{1,12}|(?i:(?=[mdclxvi]{3})m*(?:cm|cd|d?c{0,4})(?:xc|xl|l?x{0,4})(?:ix|iv|v?i{0,4}))(?!\w))"
+#: A line that holds a printed page or leaf number and nothing else.
+NUMBER = rf"(?:<page-num>[^<\n]*</page-num>|[-–—\[(]?\s*(?:(?:fol|f|p|pp|pag|page|S|bl)\.?\s*)?{ARABIC}\s?[rv]?\s*[-–—\])]?\.?|[-–—\[(]?\s*{ROMAN}\s*[-–—\])]?\.?)"
 #: Other lines without running text: markup elements, ornaments, closing formulas.
 FURNITURE = r"(?:<([A-Za-z][\w-]*)>[^<]*</[\w-]+>|\[\[meta:[^\]]*\]\]|(?:\*\s*)+|\((?:blank)\)|FINIS\.?|Finis[^\n]{0,30}|Fin\.?|Ende\.?|The End\.?|Einde\.?|Fine\.?)"
 #: A running header: every word begins with a capital letter or a digit, or a mark read in its place.

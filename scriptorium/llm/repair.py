@@ -52,7 +52,7 @@ NUMBER = re.compile(rf"[ \t]*{pagetext.NUMBER}[ \t]*")
 FURNITURE = re.compile(rf"[ \t]*{pagetext.FURNITURE}[ \t]*")
 HEADING = re.compile(r"[ \t]*(?:(?:fol\. ?\w+|p\. ?\w+|['’.,]?[A-ZÀ-Þ0-9][^\s]*|['’.,]+[^\s]*|\[\w+\]|- ?\w+ ?-|&)(?:[ \t]+|$)){1,9}")
 #: A printed number beside a running header, two spaces apart: Arabic, Roman in small letters, or marked up.
-BESIDE = r"(?:<page-num>[^<\n]*</page-num>|\[?[0-9lIO]{1,4}[rv]?\]?\.?|- ?[0-9lIO]{1,4} ?-|(?:fol|p)\. ?[0-9lIO]{1,4}[rv]?\.?|[ivxlcdm1]{1,12}\.?)"
+BESIDE = rf"(?:<page-num>[^<\n]*</page-num>|\[?{pagetext.ARABIC}[rv]?\]?\.?|- ?{pagetext.ARABIC} ?-|(?:fol|p)\. ?{pagetext.ARABIC}[rv]?\.?|[ivxlcdm1]+\.?)"
 IN_HEADER = re.compile(rf"^[ \t]*{BESIDE}[ \t]{{2,}}|[ \t]{{2,}}{BESIDE}[ \t]*$")
 MARKUP = re.compile(r"<([A-Za-z][\w-]*)>[^<]*</\1>|<[^>\n]*>|\[\[[^\]\n]*(?:\]\]|\n[^\]\n]*\]\]|$)")
 BROKEN = re.compile(rf"(\w)[{pagetext.HYPHENS}] *\n+(?=[a-zß-ÿ])(?!(?:{'|'.join(sorted(JOINERS))})\b)")

@@ -43,6 +43,13 @@ def test_headers_with_roman_numbers(spark, books):
     assert got == sorted([(f"p{i}", 1, k) for i in range(6) for k in ("header", "page_number")] + [("r", 1, "header"), ("r", 3, "page_number")], key=repr)
 
 
+def test_long_printed_numbers(spark, books):
+    heads = ["[26880]   De Luce Et Aqua", "De Luce Et   - 123456 -", "mmmmmmmmdccclxxxviii  KUBREIN."]
+    rows = [(f"p{i}", "b", float(i), f"{h}\n{GOOD}\n{GOOD}") for i, h in enumerate(heads)] + [("r", "b", 10.0, f"De Luce\n{GOOD}\n[26881]"), ("s", "b", 11.0, f"De Luce\n{GOOD}\ndcclx")]
+    got = values(repair.noisy_lines(pages(spark, rows), books))
+    assert got == sorted([(f"p{i}", 1, k) for i in range(3) for k in ("header", "page_number")] + [(x, n, k) for x in "rs" for n, k in ((1, "header"), (3, "page_number"))], key=repr)
+
+
 def close(lex):
     """All pairs that differ in one piece and whose counts allow a misreading, by the definition."""
     rate = lambda w: repair.MOST_MISREAD_SHORT if len(w) <= 3 else repair.MOST_MISREAD

@@ -76,6 +76,18 @@ def test_marks_and_limits_hold_though_the_next_page_goes_on(spark):
     assert {k[0]: w for k, w in found.items() if w != "limit"} == {"dots": "mark", "roman": "end"}
 
 
+def test_printed_numbers_of_any_length(spark):
+    """A book of over 9,999 pages, or over 499 in Roman digits, prints longer numbers; they are no text."""
+    rows = []
+    for i, number in enumerate(["[26880]", "- 123456 -", "fol. 10021v", "l0021.", "dxii", "MMDCCCLXXXVIII"]):
+        rows.append((f"foot{i}", f"b{i}", 1.0, T0, own(i, FULL) + f"\n\n{number}", False))
+        rows.append((f"open{i}", f"b{i}", 2.0, T0, own(20 + i, FULL + " Deinde corpus per") + f"\n{number}", False))
+        rows.append((f"goes{i}", f"b{i}", 3.0, T0, own(40 + i, FULL + " Deinde corpus per"), False))
+        rows.append((f"next{i}", f"b{i}", 4.0, T0, f"{number}   CLAVIS MANUS.\nsex horas purga. " + FULL, False))
+        rows.append((f"word{i}", f"c{i}", 1.0, T0, own(60 + i, FULL) + "\nDeinde\n" + ["di", "mi", "mild", "vidi", "modo", "dici"][i], False))
+    assert cut(spark, rows) == {(f"word{i}", "ocr"): "end" for i in range(6)}
+
+
 def test_prefixes_against_brute_force(spark):
     rng = random.Random(3)
     base = ["".join(rng.choice("ab") for _ in range(40)) for _ in range(3)]
