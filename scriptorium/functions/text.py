@@ -120,11 +120,14 @@ def stem_match(a: str, b: str) -> float:
     return 1.0 if a == b else 0.8 if n >= 4 and a[:n] == b[:n] else 0.0
 
 
-def word_overlap(a: str | None, b: str | None) -> int:
-    """Matched words against the longer side's number of words, in percent. Each word of b is used once,
-    by the first word of a that fits."""
-    clean = lambda t: [w for w in " ".join(re.sub(r"[^\w\s]", "", (t or "").lower(), flags=re.A).split()).split(" ") if len(w) > 2]
-    left, right = clean(a), clean(b)
+def matched_words(text: str | None) -> list[str]:
+    """Lower-case words of over two letters, without punctuation and letters outside ASCII, as word_overlap
+    compares them. Those of two texts together are the words of the first and then those of the second."""
+    return [w for w in re.sub(r"[^\w\s]", "", (text or "").lower(), flags=re.A).split() if len(w) > 2]
+
+
+def words_overlap(left: list[str], right: list[str]) -> int:
+    """word_overlap of two lists of words."""
     if not left or not right:
         return 0
     free, total = list(range(len(right))), 0.0
@@ -138,24 +141,30 @@ def word_overlap(a: str | None, b: str | None) -> int:
     return int(total / max(len(left), len(right)) * 100 + 0.5)
 
 
+def word_overlap(a: str | None, b: str | None) -> int:
+    """Matched words against the longer side's number of words, in percent. Each word of b is used once,
+    by the first word of a that fits."""
+    return words_overlap(matched_words(a), matched_words(b))
+
+
+def words_confidence(ta: list[str], aa: list[str], tb: list[str], ab: list[str]) -> int:
+    """match_confidence of one pair, given the words of its titles and authors."""
+    shared = len({w for w in ta if len(w) > 3} & {w for w in tb if len(w) > 3})
+    bonus = 15 if shared >= 3 else 8 if shared == 2 else 0
+    best = max(
+        0.7 * words_overlap(ta, tb) + 0.3 * words_overlap(aa, ab) + bonus,
+        0.9 * words_overlap(ta, tb + ab),
+        0.9 * words_overlap(ta + aa, tb),
+        words_overlap(ta + aa, tb + ab) + bonus,
+    )
+    return int(best + 0.5)
+
+
 @vectorized("int")
 def match_confidence(title_a: pd.Series, author_a: pd.Series, title_b: pd.Series, author_b: pd.Series) -> pd.Series:
     """The best of several comparisons of title and author, with a bonus for shared title words: 0 to
     about 115."""
-    out = []
-    for ta, aa, tb, ab in zip(title_a, author_a, title_b, author_b):
-        whole_a, whole_b = f"{ta or ''} {aa or ''}", f"{tb or ''} {ab or ''}"
-        long = lambda t: {w for w in re.sub(r"[^\w\s]", "", (t or "").lower(), flags=re.A).split() if len(w) > 3}
-        shared = len(long(ta) & long(tb))
-        bonus = 15 if shared >= 3 else 8 if shared == 2 else 0
-        best = max(
-            0.7 * word_overlap(ta, tb) + 0.3 * word_overlap(aa, ab) + bonus,
-            0.9 * word_overlap(ta, whole_b),
-            0.9 * word_overlap(whole_a, tb),
-            word_overlap(whole_a, whole_b) + bonus,
-        )
-        out.append(int(best + 0.5))
-    return pd.Series(out, dtype="int32")
+    return pd.Series([words_confidence(*map(matched_words, r)) for r in zip(title_a, author_a, title_b, author_b)], dtype="int32")
 
 
 def plausible_year(text: Column) -> Column:

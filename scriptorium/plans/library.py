@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import ids, links, markup, text
 from scriptorium.operators import aggregates as A
-from scriptorium.operators import changes, entities, filters, joins, nested, ordered
+from scriptorium.operators import changes, entities, filters, joins, metadata, nested, ordered
 from scriptorium.operators.ranking import latest_rows
 from scriptorium.plans.base import query
 from scriptorium.session import table
@@ -602,13 +602,9 @@ def keyword_categories(spark, d):
 
 @query("metadata_matches")
 def metadata_matches(spark, d):
-    b = books_of(spark, d).where("title is not null").select(F.col("id").alias("book_id"), F.col("title").alias("b_title"), F.col("author").alias("b_author"))
-    e = table(spark, d, "external_catalog").where("title is not null").select("catalog_id", F.col("title").alias("c_title"), F.col("author").alias("c_author"))
-    toks = lambda df, x: df.withColumns({f"tok_{x}": text.stems(F.concat_ws(" ", f"{x}_title", f"{x}_author")), f"short_{x}": F.size(text.stems(F.col(f"{x}_title"))) <= 2})
-    pairs = joins.pair_blocked(toks(b, "b"), toks(e, "c"), "tok_b", "tok_c", "short_b", "short_c")
-    scored = pairs.withColumn("confidence", text.match_confidence("b_title", "b_author", "c_title", "c_author")).where("confidence > 40")
-    w = W.partitionBy("book_id").orderBy(F.desc("confidence"), "catalog_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("book_id", "catalog_id", "confidence", "rank")
+    b = books_of(spark, d).where("title is not null").select(F.col("id").alias("left_key"), "title", "author")
+    e = table(spark, d, "external_catalog").where("title is not null").select(F.col("catalog_id").alias("right_key"), "title", "author")
+    return metadata.best_matches(b, e).withColumnsRenamed({"left_key": "book_id", "right_key": "catalog_id"})
 
 
 @query(

@@ -78,6 +78,42 @@ def test_blocking_loses_no_metadata_match(spark):
     assert judged.count() > 50 and judged.exceptAll(blocked).count() == 0
 
 
+def test_best_metadata_matches_against_brute_force(spark, monkeypatch):
+    """The same rows as if every pair were judged, however the tables are cut, with ties, nulls and repeated
+    rows; and few pairs are judged."""
+    from scriptorium.operators import metadata
+
+    rng = random.Random(7)
+    words = "liber libri von dem der die mercurius mercurii mercuri aurum auri traite sol sole kunst kunste é l'or an".split()
+    make = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(0, n)))
+    rows = lambda n: [(make(9), rng.choice([None, "", make(4)])) for _ in range(n)] + [(None, None), ("liber " * 30, "sol"), ("", "liber")]
+    left, right = [(f"b{i}", *r) for i, r in enumerate(rows(50))], [(i, *r) for i, r in enumerate(rows(90) * 2)]
+    a = spark.createDataFrame(left, "left_key string, title string, author string")
+    b = spark.createDataFrame(right, "right_key bigint, title string, author string")
+    sure = lambda x, y: text.words_confidence(*[text.matched_words(t) for t in (x[1], x[2], y[1], y[2])])
+    want = set()
+    for x in left:
+        found = sorted((-c, y[0]) for y in right if (c := sure(x, y)) > 40)[:5]
+        want |= {(x[0], y, -c, i + 1) for i, (c, y) in enumerate(found)}
+    assert len(want) > 100
+    for sizes in ((4_096, 65_536, 200), (20, 30, 5)):
+        for name, n in zip(("LEFT_ROWS", "RIGHT_ROWS", "FIRST"), sizes):
+            monkeypatch.setattr(metadata, name, n)
+        got = [tuple(r) for r in metadata.best_matches(a, b).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert metadata.best_matches(a, b.limit(0)).count() == 0
+
+    made = lambda: [f"der {rng.choice('abcdefghij') * 3}{rng.randrange(30):02} und {rng.choice('klmnopqr') * 3}{rng.randrange(30):02}" for _ in range(2_000)]
+    judged, plain = [], text.words_confidence
+    monkeypatch.setattr(text, "words_confidence", lambda *x: judged.append(1) or plain(*x))
+    side, other = metadata.Side(made(), [None] * 2_000), metadata.Side(made(), [None] * 2_000).index()
+    import numpy as np
+
+    for t in side.title:
+        metadata.best_of(t, [], other, np.arange(2_000), 40, 5)
+    assert len(judged) < 2_000 * 100  # of 4,000,000 pairs, all of which share two words
+
+
 def test_shared_folder_is_named_by_the_cluster(spark):
     def fake(master, named=None):
         conf = types.SimpleNamespace(get=lambda k, d=None: named if k == "spark.checkpoint.dir" else d, set=lambda k, v: None)
