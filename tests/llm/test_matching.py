@@ -94,6 +94,38 @@ def test_similarity_is_the_weighted_dice_of_the_fields_that_both_have(spark):
     assert r.similarity == 0.6667 and r.distance == 1 and (r.d_title, r.d_author, r.d_year, r.d_place, r.d_volume) == (3, 2, -1, 2, 0)
 
 
+def test_no_pair_that_the_exact_look_takes_is_closed_to_it(spark):
+    """Years, volumes and names with slips and endings, against the exact look."""
+    rng = random.Random(8)
+    names = ["Bridierk", "Bridierkius", "Brideirk", "Birdiekr", "Bridrk", "Lisas", "Liss", "Lsiasius", "Kenulm", "Knelum", "Bo", "", None]
+    places = ["Francofurti", "Francof.", "Franc.", "Francofutri", "Fracnofurti", "Lipsiae", "Lpisiae", "Lips.", "Lipsia", "Basel", "Bsael", "B.", "s.l.", None]
+    years = ["1601", "1604", "1605", "MDCI", "s.a.", None]
+    parts = ["", " pars prima", " pars secunda", "..."]
+    rows = [(i, i % 2, "De luce aquae" + rng.choice(parts), rng.choice(names), rng.choice(years), rng.choice(places)) for i in range(160)]
+    coded = matching.encode(spark.createDataFrame(rows, "key bigint, side int, title string, author string, year string, place string"), []).dropDuplicates(["side", "form"]).cache()
+    side = lambda n, x: coded.where(F.col("side") == n).select(*[F.col(c).alias(f"{c}_{x}") for c in coded.columns])
+    every = side(0, "a").crossJoin(side(1, "b")).withColumns({"similarity": F.lit(1.0), "pattern": F.lit(0)})
+    taken = matching.agreement(every, []).where(F.when(F.col("l_title") > 0, matching.same_printing()).otherwise(0) > 0).select("form_a", "form_b")
+    named = every.select("form_a", "form_b", *[F.col(f"{c}_{x}").alias(x + n) for x in "ab" for c, n in (("year", "y"), ("volume", "v"))], *[F.col(f"blocks_{x}")[0].alias(f"{x}0") for x in "ab"])
+    left_open = named.where(matching.open_to_look()).select("form_a", "form_b")
+    assert 200 < taken.count() < left_open.count() < every.count() and taken.exceptAll(left_open).count() == 0
+
+
+def test_one_table_of_postings_is_on_the_disk_at_a_time(spark, monkeypatch):
+    """No shuffled file outlives the writing of a table's pairs; only possible pairs are written one by one."""
+    written = []
+    plain = matching.materialize
+    monkeypatch.setattr(matching, "materialize", lambda df, label="t", tidy=False: written.append((label, tidy)) or plain(df, label, tidy))
+    rows = [(i, f"De luce et aqua {'abcdefgh'[i % 8] * 4}", "Anna Kubrein", str(1500 + 9 * (i % 40)), "Lipsiae") for i in range(120)]
+    a = spark.createDataFrame(rows, "key bigint, title string, author string, year string, place string")
+    matching.match_records(a, a.withColumn("key", F.col("key") + 1000)).count()
+    assert all(tidy for _, tidy in written) and sum(label == "close" for label, _ in written) == len(matching.TABLES)
+    coded = matching.encode(a.withColumn("side", F.lit(0)), []).dropDuplicates(["form"])
+    met = matching.possible_pairs(coded, coded, 0.5, matching.RADIUS)
+    whole = matching.close_pairs(coded, coded, 0.5, matching.RADIUS)
+    assert met.agg(F.sum("n")).first()[0] == whole.count() > 3 * met.count()
+
+
 def test_weights_and_calibration():
     patterns = [(5, 4, 3, 4, 1, 0.97, 90), (5, 4, 0, 0, 1, 0.7, 80), (1, 0, 0, 1, 1, 0.3, 300), (3, -1, 3, 4, 1, 0.8, 10)]
     odds = matching.weights_of(patterns)
